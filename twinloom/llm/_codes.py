@@ -148,3 +148,41 @@ def keep(df):
     """Cuts the lineage with a reliable checkpoint in the shared folder; survives the loss of executors."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint()
+
+
+@lru_cache(maxsize=1)
+def folding() -> np.ndarray:
+    """Lower case of each code point of the first plane (where it is one character)."""
+    table = np.arange(0x10001, dtype=np.uint32)
+    table[:0xD800] = [ord(low) if len(low := chr(c).lower()) == 1 else c for c in range(0xD800)]
+    return table
+
+
+def compact(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Letters and digits only, in lower case: their codes, where each text starts among them, and their places before."""
+    kind = kind_of(codes)
+    keep_at = np.flatnonzero((kind >= LETTER) & (kind <= DIGIT) | (codes > 0xFFFF))
+    kept = codes[keep_at]
+    kept = np.where(kept > 0xFFFF, kept, folding()[np.minimum(kept, 0x10000)])
+    return kept, np.searchsorted(keep_at, starts), keep_at
+
+
+def rolling(values: np.ndarray, n: int) -> np.ndarray:
+    """64-bit hash of each window of n values, by doubling: log2(n) passes over the array."""
+    base, out, done, at = values.astype(np.uint64) + np.uint64(1), None, 0, 1
+    power = base * np.uint64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        while at <= n:
+            if n & at:
+                tail = power[done:] if done else power
+                if out is None:
+                    out = tail
+                else:
+                    m = min(len(out), len(tail))
+                    out = (out[:m] ^ (out[:m] >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + tail[:m]
+                done += at
+            m = max(0, len(power) - at)
+            power = (power[:m] ^ (power[:m] >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) + power[at:]
+            at *= 2
+        out = out[: max(0, len(values) - n + 1)]
+        return out ^ (out >> np.uint64(32))

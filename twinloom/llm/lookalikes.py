@@ -58,7 +58,7 @@ def prototype(char: str) -> str:
     tag = decomposed.split()[0]
     compat = tag in FORMS
     singleton = not tag.startswith("<") and " " not in decomposed  # e.g. compatibility ideographs, the Kelvin sign
-    if (compat or singleton) and unicodedata.category(char)[0] in "LNM":
+    if (compat or singleton) and (unicodedata.category(char)[0] in "LNM" or "⺀" <= char <= "⿟"):
         return unicodedata.normalize("NFKD" if compat else "NFD", char)
     return char
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinloom.llm import duplicates, language, lookalikes
+from twinloom.llm import duplicates, language, leakage, lookalikes
 
 QUERIES = {
     "p1_found": language.found,
@@ -12,4 +12,6 @@ QUERIES = {
     "p3_distinct_records": duplicates.distinct_records,
     "p4_found": lookalikes.found,
     "p4_groups": lookalikes.groups,
+    "p5_found": leakage.found,
+    "p5_items": leakage.leaked_items,
 }
