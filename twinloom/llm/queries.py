@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinloom.llm import duplicates, language, leakage, lookalikes
+from twinloom.llm import duplicates, language, leakage, lookalikes, reading
 
 QUERIES = {
     "p1_found": language.found,
@@ -14,4 +14,7 @@ QUERIES = {
     "p4_groups": lookalikes.groups,
     "p5_found": leakage.found,
     "p5_items": leakage.leaked_items,
+    "p7_found": reading.found,
+    "p7_levels": reading.all_levels,
+    "p7_profile": reading.profile,
 }
