@@ -24,12 +24,14 @@ from twinloom.llm import _codes as K
 
 LANGUAGES = ("zh", "en", "ja", "ko", "fr", "de", "es", "ru")
 ORDERS, BITS, SCALE = (1, 2, 3, 4), 18, 32.0
-#: Labelled texts taken per language to fit the classifier; the only bound on anything here.
-SAMPLE_PER_LANGUAGE = 500
+#: Labelled texts taken per language and table to fit the classifier; the only bound on anything here.
+SAMPLE_PER_LANGUAGE = 400
 #: Longer texts are classified like any other, but not drawn as examples, so the sample is bounded in size too.
 LONGEST_EXAMPLE = 20_000
 #: A segment is a sentence or more: at least so many letters (a Han, Kana or Hangul character counts as WIDE letters).
-LEAST_LETTERS, WIDE, SURE = 18, 2.5, 0.75
+LEAST_LETTERS, WIDE, SURE = 25, 2.5, 0.75
+#: Letters of a usual sentence; the prior log odds of a sentence being in the language most of its text is in.
+USUAL_LETTERS, DOMINANT = 40, 3.0
 
 
 @dataclass(frozen=True)
@@ -120,7 +122,7 @@ def fit(texts: list[str], labels: list[str], epochs: int = 2, folds: int = 3) ->
         scripts = {x: K.unit_counts(np.isin(kind, k), at) for x, k in (("han", [K.HAN]), ("kana", [K.KANA]), ("hangul", [K.HANGUL]), ("letter", [K.LETTER]))}
         # a sentence without its label's script is mislabelled
         fits = {"zh": (scripts["han"] > scripts["letter"] / 3) & (scripts["kana"] == 0) & (scripts["hangul"] == 0), "ja": scripts["kana"] > 0, "ko": scripts["hangul"] > scripts["letter"] / 3}.get(label, scripts["letter"] > scripts["han"] + scripts["kana"] + scripts["hangul"])
-        for k in np.flatnonzero((letters >= LEAST_LETTERS) & fits)[:8]:
+        for k in np.flatnonzero((letters >= LEAST_LETTERS) & fits)[:5]:
             rows.append((*_features(np.append(codes[bounds[k] : bounds[k + 1]], np.full(K.PAD, K.SEP, np.uint32))), languages.index(label)))
             fold.append(i % folds)
     df = np.zeros(1 << BITS, np.int64)
@@ -128,12 +130,14 @@ def fit(texts: list[str], labels: list[str], epochs: int = 2, folds: int = 3) ->
         df[idx] += 1
     idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
     order = np.random.default_rng(7).permutation(len(rows))
-    good = []
-    for f in range(folds):
-        judge = _Ftrl(len(languages), idf).learn([rows[i] for i in order if fold[i] != f], 1)
-        good += [i for i in order if fold[i] == f and judge.scores(*rows[i][:2]).argmax() == rows[i][2]]
-    kept = set(good)
-    good = [i for i in order if i in kept] if len({rows[i][2] for i in good}) == len(languages) else list(order)
+    kept = set(order.tolist())
+    for _ in range(2):  # the second time, the judges learn from what the first ones let pass
+        passed = set()
+        for f in range(folds):
+            judge = _Ftrl(len(languages), idf).learn([rows[i] for i in order if fold[i] != f and i in kept], 1)
+            passed.update(i for i in order.tolist() if fold[i] == f and judge.scores(*rows[i][:2]).argmax() == rows[i][2])
+        kept = passed
+    good = [i for i in order if i in kept] if kept and len({rows[i][2] for i in kept}) == len(languages) else list(order)
     train, held = [rows[i] for k, i in enumerate(good) if k % 10], [rows[i] for k, i in enumerate(good) if k % 10 == 0]
     model = _Ftrl(len(languages), idf).learn(train, epochs)
     scored = [(model.scores(idx, count), y) for idx, count, y in held]
@@ -142,13 +146,16 @@ def fit(texts: list[str], labels: list[str], epochs: int = 2, folds: int = 3) ->
 
 
 def classify(texts: list[str], model: LanguageModel):
-    """Per sentence: owner text, language index, confidence, letters; sentences too short to tell take their text's language."""
+    """Per sentence: its start, owner text, letters and the probability of each language."""
     codes, at, owner, letters, starts = _units(texts)
     sums = K.table_sums(codes, at, model.table, ORDERS, BITS)
     raw = SCALE * sums[:, :-1] / np.maximum(sums[:, -1:], 1e-9) / model.temperature
-    e = np.exp(raw - raw.max(1, keepdims=True))
-    prob = e / e.sum(1, keepdims=True)
-    return codes, at, owner, letters, prob, starts
+    # a score is a mean over n-grams: the fewer letters, the less it tells
+    raw *= np.clip(np.sqrt(letters / USUAL_LETTERS), 0.3, 1.0)[:, None]
+    whole = np.zeros((len(texts), raw.shape[1]))
+    np.add.at(whole, owner, _softmax(raw) * letters[:, None])
+    raw[np.arange(len(owner)), whole.argmax(1)[owner]] += DOMINANT
+    return codes, at, owner, letters, _softmax(raw), starts
 
 
 def _texts_in(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,17 +168,19 @@ def _texts_in(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def train(labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """Fits on at most about `per_language` texts of each known label. labelled: row_id, label, text.
+    """Fits on at most about `per_language` texts of each known label of each table. labelled: table_name, row_id, label, text.
 
-    The sample is taken by a hash of the id under a rate computed from the label's count, so no label is gathered or sorted.
+    The sample is taken by a hash of the id under a rate computed from the label's count, so no label is gathered or
+    sorted. It is drawn table by table: else the texts of the larger table would stand for all texts in its languages,
+    and other kinds of text in them would be known mostly by those that are mislabelled.
     """
     known = labelled.where(F.col("label").isin(*LANGUAGES) & (F.length("text") <= LONGEST_EXAMPLE))
-    counts = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}  # at most one row per known language
+    counts = known.groupBy("table_name", "label").agg(F.count("*").alias("n")).collect()  # a row per table and known language
     if not counts:
         return fit([], [])
-    rate = F.coalesce(*(F.when(F.col("label") == k, F.lit(min(1.0, per_language / n))) for k, n in counts.items()))
-    rows = known.where(F.pmod(F.xxhash64("row_id", "label"), F.lit(1_000_000)) < rate * 1_000_000).select("row_id", "label", "text").collect()
-    rows.sort(key=lambda r: (r["row_id"], r["label"]))
+    rate = F.coalesce(*(F.when((F.col("table_name") == r["table_name"]) & (F.col("label") == r["label"]), F.lit(min(1.0, per_language / r["n"]))) for r in counts))
+    rows = known.where(F.pmod(F.xxhash64("row_id", "label"), F.lit(1_000_000)) < rate * 1_000_000).select("table_name", "row_id", "label", "text").collect()
+    rows.sort(key=lambda r: (r["table_name"], r["row_id"], r["label"]))
     return fit([r["text"] for r in rows], [r["label"] for r in rows])
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from twinloom.llm import duplicates, language, leakage, lookalikes, reading
+from twinloom.llm import duplicates, language, leakage, lookalikes, mixture, reading
 
 QUERIES = {
     "p1_found": language.found,
@@ -14,6 +14,8 @@ QUERIES = {
     "p4_groups": lookalikes.groups,
     "p5_found": leakage.found,
     "p5_items": leakage.leaked_items,
+    "p6_mixture": mixture.chosen,
+    "p6_shares": mixture.report,
     "p7_found": reading.found,
     "p7_levels": reading.all_levels,
     "p7_profile": reading.profile,
