@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from twinloom.llm import duplicates, language, leakage, lookalikes, mixture, reading
+from twinloom.llm import duplicates, language, leakage, lookalikes, mixture, overlap, reading
 
 QUERIES = {
     "p1_found": language.found,
     "p1_profile": language.profile,
     "p1_segments": language.all_segments,
+    "p2_found": overlap.found,
+    "p2_report": overlap.report,
     "p3_found": duplicates.found,
     "p3_distinct_records": duplicates.distinct_records,
     "p4_found": lookalikes.found,
