@@ -104,13 +104,22 @@ def covered_share(item: list[str], doc: list[str]) -> float:
     a = np.array([ids.setdefault(t, len(ids)) for t in item], np.int32)
     b = np.array([ids.get(t, -1) for t in doc], np.int32)
     weight = np.array([len(t) for t in item], np.float64)
-    # columns far from any token of the item can't be in an alignment: squeeze long stretches of them
-    known = b >= 0
-    if not known.any():
+    wide = (weight == 1).mean() > 0.5
+    # an alignment long enough holds a run of equal tokens: columns far from any such run are left out
+    run = min(4 if wide else 3, len(a), len(b))
+    if not run:
         return 0.0
-    near = np.convolve(known, np.ones(9), "same") > 0.5
-    b = b[near]
-    least = MATCH * (LEAST_TOKENS * (2 if (weight == 1).mean() > 0.5 else 1))
+    base = len(ids) + 2
+    grams_a, grams_b = (sum(x[k : len(x) - run + 1 + k].astype(np.int64) * base**k for k in range(run)) for x in (a, b))
+    hit = np.flatnonzero(np.isin(grams_b, grams_a))
+    if not len(hit):
+        return 0.0
+    reach = 16 if wide else 8
+    edges = np.zeros(len(b) + 1, np.int32)
+    np.add.at(edges, np.maximum(hit - reach, 0), 1)
+    np.add.at(edges, np.minimum(hit + run + reach, len(b)), -1)
+    b = b[np.cumsum(edges[:-1]) > 0]
+    least = MATCH * (LEAST_TOKENS * (2 if wide else 1))
     least = min(least, MATCH * max(1, len(a) - 1))
     free = np.ones(len(a), bool)
     a = a.copy()
@@ -121,6 +130,8 @@ def covered_share(item: list[str], doc: list[str]) -> float:
         free[i:end_i] = False
         a[i:end_i] = -2
         b[j:end_j] = -3
+        if free.sum() * MATCH < least:
+            break
     return float(weight[~free].sum() / weight.sum())
 
 
