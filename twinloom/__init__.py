@@ -1,0 +1 @@
+"""Parallel-text data engine on Spark DataFrames."""
