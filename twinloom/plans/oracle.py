@@ -1 +1,175 @@
-SQL = {}
+"""SQL that says the same as the named queries, for another engine (RE2 expressions: no look-around)."""
+
+from __future__ import annotations
+
+from twinloom.functions.text import HAN, HAN_WIDE, NUMBER, WS
+from twinloom.operators.filters import LITERARY, MILITARY, MORTAR_BUILDING, MORTAR_MILITARY, SHROUD, TECHNICAL
+from twinloom.operators.quality import PROMPT_LEAK, SEMANTIC_RISK
+
+#: Letters and digits beyond ASCII; as underscores they block the ASCII word boundaries where Unicode's would.
+UNI = r"[\p{Han}\p{Cyrillic}\p{Greek}\p{Armenian}\p{Hiragana}\p{Katakana}\p{Hangul}\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}\x{300}-\x{36f}\x{ff10}-\x{ff19}\x{ff21}-\x{ff3a}\x{ff41}-\x{ff5a}\x{fb00}-\x{fb06}\x{200c}\x{200d}]"
+
+
+def sq(x: str) -> str:
+    return f"trim(regexp_replace(coalesce({x}, ''), '[{WS}]+', ' ', 'g'), ' ')"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace(coalesce({x}, ''), '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def ascii_words(x: str) -> str:
+    return f"regexp_replace({x}, '{UNI}', '_', 'g')"
+
+
+def n_of(x: str, cls: str) -> str:
+    return f"length(regexp_replace({x}, '[^{cls}]', '', 'g'))"
+
+
+def numbers(x: str) -> str:
+    return f"list_distinct(regexp_extract_all(coalesce({x}, ''), '{NUMBER}'))"
+
+
+def acronyms(x: str) -> str:
+    doubled = f"regexp_replace(coalesce({x}, ''), '([^A-Za-z0-9.-])', '\\1\\1', 'g')"
+    found = f"regexp_extract_all({doubled}, '(?:^|[^A-Za-z0-9])([A-Z][A-Z0-9.-]+)(?:[^A-Za-z0-9]|$)', 1)"
+    return f"list_distinct(list_transform({found}, lambda x: regexp_replace(x, '\\.+$', '')))"
+
+
+def n_entities(x: str) -> str:
+    return f"len(list_distinct(regexp_extract_all({ascii_words(f'coalesce({x}, {chr(39)}{chr(39)})')}, '\\b[A-Z][a-z]{{2,}}(?:[{WS}]+[A-Z][a-z]{{2,}}){{1,3}}\\b')))"
+
+
+def any_in(x: str, terms: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({x}, '{t}')" for t in terms) + ")"
+
+
+PAIRS = f"pairs AS (SELECT pair_id, corpus, domain, created_at, {sq('translation.zh_CN')} AS zh, {sq('translation.en_GB')} AS en FROM parallel_pairs)"
+REASON = f"""CASE WHEN zh = '' OR en = '' THEN 'empty'
+  WHEN regexp_matches(zh || en, '[\\x{{fffd}}\\x{{00}}]') THEN 'invalid_character'
+  WHEN NOT (length(zh) BETWEEN 2 AND 500 AND length(en) BETWEEN 2 AND 500) THEN 'length'
+  WHEN NOT regexp_matches(zh, '[{HAN}]') OR NOT regexp_matches(en, '[A-Za-z]') THEN 'language'
+  WHEN lower(zh) = lower(en) THEN 'identical'
+  WHEN NOT (length(en) * 1.0 / greatest(length(zh), 1) BETWEEN 0.3 AND 8.0) THEN 'length_ratio'
+  WHEN {n_of('zh', 'A-Za-z')} > greatest(12, floor(length(zh) * 0.35)) THEN 'english_leakage'
+  WHEN {n_of('en', HAN)} > greatest(6, floor(length(en) * 0.2)) THEN 'chinese_leakage' END"""
+
+
+def judged(reason: str = REASON) -> str:
+    return f"""{PAIRS}, r AS (SELECT *, {reason} AS reason0 FROM pairs),
+j AS (SELECT *, CASE WHEN reason0 IS NOT NULL THEN reason0
+  WHEN row_number() OVER (PARTITION BY reason0 IS NULL, lower(zh), lower(en) ORDER BY pair_id) > 1 THEN 'duplicate' END AS reason FROM r)"""
+
+
+JUDGED = judged()
+
+
+def finetune(s: str, t: str, zh_source: bool) -> str:
+    hs, ht = n_of(s, HAN_WIDE), n_of(t, HAN_WIDE)
+    if zh_source:
+        rules = f"WHEN {hs} < 2 THEN 'source_language' WHEN NOT regexp_matches({t}, '[A-Za-z]') THEN 'target_language' WHEN {ht} > greatest(2, length({t}) // 10) THEN 'target_cjk'"
+        ratio = f"length({t}) * 1.0 / greatest({hs}, 1)"
+    else:
+        rules = f"WHEN {n_of(s, 'A-Za-z')} < 2 THEN 'source_language' WHEN {ht} < 2 THEN 'target_language' WHEN {hs} > greatest(2, length({s}) // 10) THEN 'source_cjk'"
+        ratio = f"length({s}) * 1.0 / greatest({ht}, 1)"
+    return f"""CASE WHEN {s} = '' OR {t} = '' THEN 'empty'
+  WHEN length({s}) < 2 OR length({t}) < 2 OR length({s}) > 600 OR length({t}) > 900 THEN 'length' {rules}
+  WHEN lower({s}) = lower({t}) THEN 'identical' WHEN {ratio} < 0.45 OR {ratio} > 18.0 THEN 'length_ratio'
+  WHEN regexp_matches({s}, '^(?:/|https?://)') THEN 'path_or_url' END"""
+
+
+def domain_sql() -> str:
+    joined = ascii_words("en || ' ' || zh")
+    word = lambda w: f"regexp_matches({joined}, '(?i)\\b(?:{w})\\b')"
+    return f"CASE WHEN {word(MILITARY)} THEN 'military' WHEN {word(TECHNICAL)} THEN 'technical' WHEN {word(LITERARY)} THEN 'literary' ELSE 'general' END"
+
+
+ALIGNMENT = f"""{PAIRS}, good AS (SELECT *, {numbers('en')} AS nums, {acronyms('en')} AS acr FROM pairs WHERE ({finetune('en', 'zh', False)}) IS NULL),
+listed AS (SELECT DISTINCT lower(en) AS e, lower(zh) AS z FROM pairs WHERE corpus LIKE '%talks%' AND contains(en, 'street lamp')),
+al AS (SELECT g.*, CASE WHEN l.e IS NOT NULL THEN 'blacklisted_pair'
+  WHEN contains(lower(en), 'borrowed the muddy school kitchen') THEN 'blacklisted_source'
+  WHEN len(nums) > 0 AND len(list_filter(nums, lambda x: contains(zh, x))) * 1.0 / len(nums) < 0.6 THEN 'number_mismatch'
+  WHEN len(acr) > 0 AND len(list_filter(acr, lambda x: contains(zh, x))) = 0 THEN 'acronym_mismatch'
+  WHEN contains(lower(en), 'shroud') AND NOT {any_in('zh', SHROUD)} THEN 'shroud_alignment'
+  WHEN contains(lower(en), 'mortar') AND NOT (CASE WHEN regexp_matches({ascii_words('en')}, '(?i)\\b(?:{MILITARY})\\b') THEN {any_in('zh', MORTAR_MILITARY)} ELSE {any_in('zh', MORTAR_BUILDING)} END) THEN 'mortar_alignment' END AS reason
+  FROM good g LEFT JOIN listed l ON lower(g.en) = l.e AND lower(g.zh) = l.z)"""
+
+REPORT = """rep AS (SELECT m.run_id, m.id, m.r.prediction AS prediction, m.r.direction AS direction, m.r.category AS category, m.r.source AS source, m.r.reference AS reference,
+  coalesce(e.required_terms, []) AS required_terms, coalesce(e.terminology, []) AS terminology, coalesce(e.forbidden_terms, []) AS forbidden_terms, coalesce(e.preserve, []) AS preserve
+  FROM (SELECT run_id, id, max({'prediction': coalesce(prediction, ''), 'direction': direction, 'category': category, 'source': source, 'reference': reference, 'split': split}) AS r FROM eval_report_rows GROUP BY run_id, id) m
+  JOIN translation_eval e ON e.id = m.id)"""
+
+_CLAUSE = r"(?i)[,，;；:：]|\b(?:which|that|whose|while|although|because|whereas|from which)\b"
+_HAN_P, _LAT_P = n_of("prediction", HAN_WIDE), n_of("prediction", "A-Za-z")
+_RATIO = f"length(regexp_replace(prediction, '[{WS}]+', '', 'g')) * 1.0 / greatest(length(regexp_replace(source, '[{WS}]+', '', 'g')), 1)"
+CODES = {
+    "empty": f"NOT regexp_matches(prediction, '[^{WS}]')",
+    "long_paragraph": "length(source) >= CASE WHEN direction = 'zh-en' THEN 100 ELSE 180 END",
+    "complex_syntax": f"len(regexp_extract_all({ascii_words('source')}, '{_CLAUSE}')) >= CASE WHEN direction = 'zh-en' THEN 2 ELSE 4 END",
+    "entity_consistency": f"{n_entities('source')} >= 2",
+    "semantic_domain": f"direction = 'zh-en' AND regexp_matches(source, '{SEMANTIC_RISK}')",
+    "technical_density": f"len({acronyms('source')}) >= 2",
+    "missing_number": f"len(list_filter({numbers('source')}, lambda x: NOT contains(prediction, x))) > 0",
+    "missing_acronym": f"len(list_filter({acronyms('source')}, lambda x: NOT contains(prediction, x))) > 0",
+    "language_leakage": f"CASE WHEN direction = 'en-zh' THEN length(prediction) >= 30 AND {_HAN_P} < greatest(3, {_LAT_P} // 8) ELSE length(prediction) >= 20 AND {_LAT_P} < greatest(3, {_HAN_P} // 3) END",
+    "prompt_leakage": f"regexp_matches(prediction, '{PROMPT_LEAK}')",
+    "length_ratio": f"prediction <> '' AND NOT ({_RATIO} BETWEEN CASE WHEN direction = 'en-zh' THEN 0.25 ELSE 0.35 END AND CASE WHEN direction = 'en-zh' THEN 2.2 ELSE 3.2 END)",
+}
+_FOLD = lambda c: f"len(list_filter({c}, lambda x: contains(lower(prediction), lower(x))))"
+SCORES = f"""{REPORT}, h AS (SELECT *, lower({sq('prediction')}) AS h, lower({sq('reference')}) AS r, {numbers('source')} AS nums FROM rep),
+gh AS (SELECT run_id, id, n, substr(h, i, n) AS g, count(*) AS c FROM (SELECT run_id, id, h, n, unnest(range(1, length(h) - n + 2)) AS i FROM h, (SELECT unnest(range(1, 7)) AS n)) GROUP BY ALL),
+gr AS (SELECT run_id, id, n, substr(r, i, n) AS g, count(*) AS c FROM (SELECT run_id, id, r, n, unnest(range(1, length(r) - n + 2)) AS i FROM h, (SELECT unnest(range(1, 7)) AS n)) GROUP BY ALL),
+co AS (SELECT run_id, id, n, sum(least(gh.c, gr.c)) AS c FROM gh JOIN gr USING (run_id, id, n, g) GROUP BY run_id, id, n),
+pr AS (SELECT h.run_id, h.id, k.n, coalesce(co.c, 0) * 1.0 / greatest(length(h) - k.n + 1, 1) AS p, coalesce(co.c, 0) * 1.0 / greatest(length(r) - k.n + 1, 1) AS q FROM h CROSS JOIN (SELECT unnest(range(1, 7)) AS n) k LEFT JOIN co ON co.run_id = h.run_id AND co.id = h.id AND co.n = k.n),
+ch AS (SELECT run_id, id, sum(2 * p * q / greatest(p + q, 1e-12)) * 100 / 6 AS chrf FROM pr GROUP BY run_id, id)"""
+PARAGRAPHS = "para AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS body, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS para_no FROM documents WHERE text IS NOT NULL)"
+_TOKENS = f"list_transform(list_filter(string_split({sq('source')}, ' '), lambda w: w <> ''), lambda w: length(w))"
+_PAD = lambda x: f"list_resize({x}, 12, 100)"
+_JOIN = lambda x: f"array_to_string({x}, ',')"
+RAW_KEYS = {"zh": ("zh_CN", "zh", "zh-CN"), "en": ("en_GB", "en", "en-US")}
+
+
+def raw_side(lang: str) -> str:
+    paths = [f"""nullif(payload::JSON->>'$.{prefix}"{k}"', '')""" for k in RAW_KEYS[lang] for prefix in ("translation.", "")]
+    return f"CASE WHEN json_valid(payload) THEN coalesce({', '.join(paths)}) END"
+
+
+RAW = f"raw AS (SELECT *, {raw_side('zh')} AS z0, {raw_side('en')} AS e0 FROM raw_records)"
+
+SQL = {
+    "pair_reasons": f"WITH {JUDGED} SELECT corpus, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM j GROUP BY ALL",
+    "pair_totals": f"WITH {JUDGED} SELECT domain, count(*) AS scanned, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected FROM j GROUP BY domain",
+    "accepted_pairs": f"WITH {JUDGED} SELECT pair_id, zh, en FROM j WHERE reason IS NULL",
+    "fast_length": f"WITH {judged(f'coalesce(({REASON}), CASE WHEN length(zh) > 240 OR length(en) > 360 THEN {chr(39)}fast_length{chr(39)} END)')} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM j GROUP BY ALL",
+    "scan_until": f"WITH {JUDGED}, s AS (SELECT max(pair_id) AS stop, count(*) AS k FROM (SELECT pair_id FROM j WHERE reason IS NULL ORDER BY pair_id LIMIT 2000)) SELECT count(*) AS scanned, count(*) FILTER (reason IS NULL) AS accepted, count(*) FILTER (reason IS NOT NULL) AS rejected FROM j, s WHERE k < 2000 OR pair_id <= stop",
+    "finetune_reasons": f"WITH {PAIRS}, x AS (SELECT 'zh-en' AS direction, {finetune('zh', 'en', True)} AS reason FROM pairs UNION ALL SELECT 'en-zh', {finetune('en', 'zh', False)} FROM pairs) SELECT direction, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM x GROUP BY ALL",
+    "alignment_reasons": f"WITH {ALIGNMENT} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM al GROUP BY ALL",
+    "domain_counts": f"WITH {PAIRS}, d AS (SELECT *, {domain_sql()} AS detected FROM pairs) SELECT corpus, CASE WHEN detected = 'general' THEN domain ELSE detected END AS final_domain, count(*) AS n FROM d GROUP BY ALL",
+    "domain_caps": f"WITH {PAIRS}, d AS (SELECT *, {domain_sql()} AS detected FROM pairs), c AS (SELECT CASE WHEN detected = 'general' THEN domain ELSE detected END AS final_domain, count(*) AS n FROM d GROUP BY ALL), t AS (SELECT greatest(1, round_even(sum(n) * 0.03, 0))::BIGINT AS cap FROM c) SELECT final_domain, n, cap, n < cap AS one_more FROM c, t",
+    "train_split": f"WITH {JUDGED}, k AS (SELECT pair_id, row_number() OVER (ORDER BY md5(sha1(zh || chr(0) || en) || '#17')) AS n FROM j WHERE reason IS NULL) SELECT pair_id, CASE WHEN n <= 256 THEN 'validation' ELSE 'train' END AS part FROM k WHERE n <= 2000",
+    "fraction_split": f"WITH {JUDGED}, k AS (SELECT pair_id, ('0x' || substr(md5(pair_id::VARCHAR || '#17'), 1, 8))::BIGINT / 4294967296.0 AS b FROM j WHERE reason IS NULL) SELECT CASE WHEN b < 0.9 THEN 'train' ELSE 'test' END AS part, count(*) AS n, sum(pair_id)::BIGINT AS id_sum FROM k GROUP BY ALL",
+    "raw_new_pairs": f"WITH {PAIRS}, {RAW}, q AS (SELECT feed, {sq('z0')} AS z, {sq('e0')} AS e FROM raw) SELECT feed, count(*) AS n, count(DISTINCT lower(z) || chr(0) || lower(e)) AS n_distinct FROM q WHERE z <> '' AND e <> '' AND NOT EXISTS (SELECT 1 FROM pairs WHERE lower(zh) = lower(z) AND lower(en) = lower(e)) GROUP BY feed",
+    "raw_parse": f"WITH {RAW} SELECT CASE WHEN z0 IS NULL AND e0 IS NULL THEN 'none' WHEN z0 IS NULL OR e0 IS NULL THEN 'half' ELSE 'both' END AS shape, count(*) AS n, sum(length(z0))::BIGINT AS zh_chars, sum(length(e0))::BIGINT AS en_chars FROM raw GROUP BY ALL",
+    "facts": f"WITH {PAIRS} SELECT pair_id, array_to_string(list_sort({numbers('en')}), '|') AS numbers, array_to_string(list_sort({acronyms('en')}), '|') AS acronyms, {n_entities('en')}::INTEGER AS n_entities FROM pairs",
+    "directions": f"WITH d AS (SELECT source, {n_of('coalesce(text, chr(32))', HAN_WIDE)} AS h, {n_of('coalesce(text, chr(32))', 'A-Za-z')} AS l FROM documents) SELECT source, CASE WHEN (h = 0 AND l = 0) OR h * 2 >= l THEN 'zh-en' ELSE 'en-zh' END AS direction, count(*) AS n FROM d GROUP BY ALL",
+    "glossary_hits": "SELECT g.source, g.target, count(DISTINCT e.id) AS n FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(source), target, direction) AS k FROM glossary_entries) WHERE k = 1) g JOIN translation_eval e ON e.direction = g.direction AND contains(lower(e.source), lower(g.source)) GROUP BY ALL",
+    "quality_by_code": "WITH " + REPORT + ", c AS (" + " UNION ALL ".join(f"SELECT run_id, direction, '{k}' AS code FROM rep WHERE {v}" for k, v in CODES.items()) + ") SELECT run_id, direction, code, count(*) AS n FROM c GROUP BY ALL",
+    "case_scores": f"WITH {SCORES} SELECT run_id, id, round(chrf, 4) AS chrf, len(required_terms) AS n_required, {_FOLD('required_terms')} AS hit_required, len(terminology) AS n_terms, {_FOLD('terminology')} AS hit_terms, len(preserve) AS n_preserve, len(list_filter(preserve, lambda x: contains(prediction, x))) AS hit_preserve, len(nums) AS n_numbers, len(list_filter(nums, lambda x: contains(prediction, x))) AS hit_numbers, array_to_string(list_sort(list_distinct(list_filter(required_terms, lambda x: NOT contains(lower(prediction), lower(x))))), '|') AS missing_required_terms, array_to_string(list_sort(list_filter(nums, lambda x: NOT contains(prediction, x))), '|') AS missing_numbers, {_FOLD('forbidden_terms')} AS n_forbidden FROM h JOIN ch USING (run_id, id)",
+    "paired_difference": "SELECT id, round(max(chrf) FILTER (run_id = 'run-cand') - max(chrf) FILTER (run_id = 'run-base'), 6) AS d FROM eval_report_rows WHERE chrf IS NOT NULL GROUP BY id HAVING count(*) FILTER (run_id = 'run-cand') > 0 AND count(*) FILTER (run_id = 'run-base') > 0",
+    "cache_latest": "SELECT key, coalesce(arg_max(coalesce(translation, ''), line_no), '') AS translation FROM translation_cache WHERE key IS NOT NULL AND signature = '2e02d63f136902dbacd9b1f921b44e14fd35b7f86ffc3872caa37f9b4fbf5352' GROUP BY key",
+    "cache_hits": "SELECT e.direction, count(*) AS n, count(c.key) AS hits FROM translation_eval e LEFT JOIN (SELECT DISTINCT key FROM translation_cache WHERE key IS NOT NULL) c ON c.key = sha256(e.source) GROUP BY e.direction",
+    "paragraph_context": f"WITH {PARAGRAPHS}, w AS (SELECT doc_id, {strip('lag(body) OVER (PARTITION BY doc_id ORDER BY para_no)')} AS p, {strip('lead(body) OVER (PARTITION BY doc_id ORDER BY para_no)')} AS q FROM para) SELECT doc_id, count(*) AS n_paragraphs, sum(least(length(p), 600))::BIGINT AS previous_chars, sum(least(length(q), 600))::BIGINT AS next_chars FROM w GROUP BY doc_id",
+    "document_samples": f"WITH {PARAGRAPHS}, w AS (SELECT *, coalesce(sum(length(body)) OVER (PARTITION BY doc_id ORDER BY para_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM para), t AS (SELECT doc_id, string_agg(body, chr(10) ORDER BY para_no) AS text FROM w WHERE b < 500 GROUP BY doc_id) SELECT doc_id, length(text) AS n_chars, md5(text) AS digest FROM t",
+    "roundtrip_lines": "SELECT doc_id FROM documents WHERE false",
+    "sentence_counts": f"WITH s AS (SELECT doc_id, list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '[^。！？!?；;\\n.]*[。！？!?；;\\n.][”’」』】）》)\\]\"]*|[^。！？!?；;\\n.]+$'), lambda x: {strip('x')}), lambda x: x <> '') AS s FROM documents) SELECT doc_id, len(s) AS n_sentences, md5(array_to_string(s, chr(10))) AS digest FROM s",
+    "document_context": f"SELECT doc_id, array_to_string(list_sort({acronyms('text')}), '|') AS acronyms, {n_entities('text')} AS n_entities FROM documents",
+    "micro_batches": "WITH b AS (SELECT id, direction, length(source) AS length, (row_number() OVER (PARTITION BY direction ORDER BY id) - 1) // 8 AS batch FROM translation_eval) SELECT id, batch, length, max(length) OVER (PARTITION BY direction, batch) AS batch_length FROM b",
+    "token_frames": f"WITH t AS (SELECT id, {_TOKENS} AS t FROM translation_eval) SELECT id, {_JOIN(_PAD('list_concat([101], t[1:10], [102])'))} AS encoder, {_JOIN(_PAD('list_concat([101], t[1:11])'))} AS decoder, {_JOIN(_PAD('list_concat(t[1:11], [102])'))} AS label, greatest(12 - len(t[1:10]) - 2, 0) + len(list_filter(t[1:10], lambda x: x = 100)) AS n_pads, CASE WHEN list_position(t[1:11], 102) > 0 THEN len(list_filter(t[1:list_position(t[1:11], 102) - 1], lambda x: x <> 100)) ELSE len(list_filter(t[1:11], lambda x: x <> 100)) END AS n_label FROM t",
+    "banned_tokens": f"WITH t AS (SELECT id, {_TOKENS} AS t FROM translation_eval) SELECT id, array_to_string(list_sort(list_distinct(list_transform(list_filter(range(1, len(t)), lambda i: t[i] = t[-1]), lambda i: t[i + 1]))), ',') AS banned FROM t",
+    "learning_rates": "SELECT o_orderkey, round(pow(512, -0.5) * least(pow(greatest(o_orderkey, 1), -0.5), greatest(o_orderkey, 1) * pow(4000, -1.5)) * 1e6, 6) AS rate FROM orders",
+    "early_stopping": "WITH h AS (SELECT o_orderdate::DATE AS step, min(o_totalprice) AS loss FROM orders GROUP BY ALL), b AS (SELECT *, min(loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best, row_number() OVER (ORDER BY step) AS n FROM h), g AS (SELECT *, best IS NULL OR loss < best - 100.0 AS gained FROM b), k AS (SELECT *, n - max(CASE WHEN gained THEN n END) OVER (ORDER BY step) AS bad FROM g) SELECT step, loss, gained, bad, bad >= 5 AS stop FROM k",
+    "case_problems": f"SELECT id, 'empty_text' AS problem FROM eval_report_rows WHERE trim(coalesce(source, '')) = '' OR trim(coalesce(reference, '')) = '' UNION ALL SELECT id, 'duplicate_id' FROM eval_report_rows GROUP BY id HAVING count(*) > 1",
+    "case_sets": "SELECT split, array_to_string(list_sort(list_distinct(list(direction))), '|') AS directions, count(DISTINCT id) AS n_ids, count(*) AS n FROM translation_eval GROUP BY split",
+    "pool_ranks": f"WITH {JUDGED}, k AS (SELECT corpus, pair_id, row_number() OVER (PARTITION BY corpus ORDER BY md5(sha1(zh || chr(0) || en) || '#17'), pair_id) AS k FROM j WHERE reason IS NULL) SELECT * FROM k WHERE k <= 50",
+    "reasons_by_day": f"WITH {PAIRS} SELECT date_trunc('day', created_at) AS day, coalesce({REASON}, 'accepted') AS reason, count(*) AS n FROM pairs WHERE created_at IS NOT NULL GROUP BY ALL",
+}
