@@ -1,9 +1,10 @@
 """Documents that repeat passages of held-out items (problem 5).
 
 Rare n-gram seeds join documents to items, then Smith-Waterman alignment scores the copies. An item's text, reduced
-to letters and digits, is cut into blocks; of the n-grams that start in a block, the one in the fewest documents is
-its seed (document frequencies are counted over all documents). A document that has the seeds of at least
-`SEED_SHARE` of an item's blocks is aligned with it token by token (words; single characters of scripts without
+to letters and digits, is cut into blocks; of the n-grams that start in a block, those in few documents are its seeds:
+in at most `RARE` times as many as the rarest that occurs at all, plus `RARE_MORE` (so a copy's own n-grams, which are
+in more documents than those its edits broke, stay seeds). Document frequencies are counted over all documents. A
+document that has a seed of at least `SEED_SHARE` of an item's blocks is aligned with it token by token (words; single characters of scripts without
 spaces): local alignments are taken one after the other until none is long enough, and the item's tokens inside
 them are what the document repeats.
 
@@ -26,7 +27,8 @@ from twinloom.llm import _codes as K
 
 N_WIDE, N_LETTERS = 7, 20  # n-gram lengths for texts mostly in wide characters, and for others
 ITEM_BLOCK = 2_000_000
-SEED_SHARE, COVERED = 0.15, 0.5
+SEED_SHARE, COVERED = 0.25, 0.5
+RARE, RARE_MORE = 4, 8
 MATCH, MISS = 2, -1
 LEAST_TOKENS = 6  # of a local alignment, in words; wide characters count half
 BITMAP = 22
@@ -170,16 +172,19 @@ def _block(spark: SparkSession, rows: list, docs: DataFrame) -> DataFrame | None
     frequency = np.zeros(len(grams.sorted), np.int64)
     frequency[df["gram"].to_numpy(np.int64)] = df["n"].to_numpy(np.int64)
     places["df"] = frequency[np.searchsorted(grams.sorted, places["hash"].to_numpy())]
-    seeds = places.sort_values("df", kind="stable").drop_duplicates(["item", "block"])
-    blocks = seeds.groupby("item").size().reindex(range(len(items)), fill_value=1).to_numpy()
+    blocks = places.groupby("item")["block"].nunique().reindex(range(len(items)), fill_value=1).to_numpy()
+    places = places[places["df"] > 0]  # what no document has can't find one
+    seeds = places[places["df"] <= places.groupby(["item", "block"])["df"].transform("min") * RARE + RARE_MORE]
     chosen = _Grams(seeds["hash"].to_numpy())
     number = np.searchsorted(chosen.sorted, seeds["hash"].to_numpy())
     order = np.argsort(number, kind="stable")
     offsets = np.searchsorted(number[order], np.arange(len(chosen.sorted) + 1))
-    packed = spark.sparkContext.broadcast((chosen, offsets, seeds["item"].to_numpy()[order], blocks, [(k, tokens(t)) for k, t in items]))
+    width = int(blocks.max()) + 1
+    spots = (seeds["item"].to_numpy() * width + seeds["block"].to_numpy())[order]
+    packed = spark.sparkContext.broadcast((chosen, offsets, spots, width, blocks, [(k, tokens(t)) for k, t in items]))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        g, offs, owners, n_blocks, known = packed.value
+        g, offs, spots, width, n_blocks, known = packed.value
         for pdf in batches:
             values, ids = pdf["text"].tolist(), pdf["doc_id"].to_numpy()
             for low, high in K.chunks(values):
@@ -189,7 +194,8 @@ def _block(spark: SparkSession, rows: list, docs: DataFrame) -> DataFrame | None
                 size = offs[gram + 1] - offs[gram]
                 pair_text = np.repeat(text, size)
                 at = np.repeat(offs[gram] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
-                pair, n = np.unique(pair_text * len(known) + owners[at], return_counts=True)
+                block = np.unique(pair_text * (len(known) * width) + spots[at])
+                pair, n = np.unique(block // width, return_counts=True)
                 item = pair % len(known)
                 pair = pair[n >= np.maximum(1, np.ceil(SEED_SHARE * n_blocks[item]))]
                 out, cut = [], {}

@@ -36,7 +36,7 @@ RADICALS = {
 NO_BREAK = "   "
 FORMS = {"<wide>", "<narrow>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>"}
 #: Blocks that hold every character the rules or tables above change; plain texts hold none of them.
-SUSPECT = "[ ­ĲĳĿŀŉſǄ-ǌǱ-ǳɑɡ̀-֏؜ٵ-ٸำຳໜໝཷཹᅟᅠᎠ-᏿឴឵᠋-᠏᪰-᫿ᴀ-᷿ẚ᾽-῁ ​-‏‪- ⁠-⁯⃐-⃿℀-↏⺀-⿟ㄱ-ㆎㅤ㈀-㏿ꚜ-ꟿꭜ-ꭟ豈-ﭏﭐ-﷿︀-️︠-︯ﹰ-﻿０-９Ａ-Ｚａ-ｚｦ-ￜ\U0001d400-\U0001d7ff\U0001ee00-\U0001eeff\U0001fbf0-\U0001fbf9\U0002f800-\U0002fa1f\U000e0000-\U000e01ef]"
+SUSPECT = "[ ­ĲĳĿŀŉſǄ-ǌǱ-ǳɑɡ̀-֏؜ٵ-ٸำຳໜໝཷཹᅟᅠᎠ-᏿឴឵᠋-᠏᪰-᫿ᴀ-᷿ẚ᾽-῁ ​-‏‪- ⁠-⁯⃐-⃿℀-↏⺀-⿟〸-〺ㄱ-ㆎㅤ㈀-㏿ꚜ-ꟿꭜ-ꭟ豈-ﭏﭐ-﷿︀-️︠-︯ﹰ-﻿０-９Ａ-Ｚａ-ｚｦ-ￜ\U0001d400-\U0001d7ff\U0001ee00-\U0001eeff\U0001fbf0-\U0001fbf9\U0002f800-\U0002fa1f\U000e0000-\U000e01ef]"
 _WORD = re.compile(r"[^\W\d_⺀-鿿가-퟿豈-﫿\U00020000-\U0003ffff][̀-ͯ]*(?:[^\W\d_⺀-鿿가-퟿豈-﫿\U00020000-\U0003ffff]|[̀-ͯ])*")
 _FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
