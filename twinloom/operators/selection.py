@@ -58,7 +58,7 @@ def _rounds(need: int, room: dict[str, int]):
                 if len(picked) >= need:
                     break
             queues = alive
-        return pdf.loc[picked].drop(columns="pool_no")
+        return pdf.loc[picked].drop(columns=["pool_no", "_all"])
 
     return run
 
@@ -104,6 +104,6 @@ def select(pools: list[tuple[str, float, DataFrame]], total: int, caps: dict[str
             part = take(rest.where(F.col("pool_no") == i), 2 * need, {d: n + need for d, n in room.items()})
             front = part if front is None else front.unionByName(part)
         # turns depend on each other; the rows that can matter are bounded by the size of the selection, a parameter
-        fill = keep(front.groupBy(F.lit(0)).applyInPandas(_rounds(need, dict(room)), front.drop("pool_no").schema).select("key", "domain", "rank", "pool", F.lit("fill").alias("phase")))
+        fill = keep(front.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_rounds(need, dict(room)), front.drop("pool_no").schema).select("key", "domain", "rank", "pool", F.lit("fill").alias("phase")))
         chosen = chosen.unionByName(fill)
     return chosen.select("key", "domain", "pool", "phase")

@@ -33,7 +33,7 @@ def pairs_from_json(payload, rows: DataFrame) -> DataFrame:
     schema = f"translation struct<{', '.join(f'`{k}`: string' for k in keys)}>, {', '.join(f'`{k}` string' for k in keys)}, _broken string"
     row = F.from_json(payload, schema, {"columnNameOfCorruptRecord": "_broken"})
     sides = [F.coalesce(*(F.nullif(v, F.lit("")) for k in group for v in (row["translation"][k], row[k]))).alias(name) for name, group in names.items()]
-    return rows.withColumn("translation", F.when(row["_broken"].isNull(), F.struct(*sides)))
+    return rows.withColumn("translation", F.when(payload.isNotNull() & row["_broken"].isNull(), F.struct(*sides)))
 
 
 def cache_log(spark: SparkSession, path: str) -> DataFrame:
