@@ -122,6 +122,14 @@ gr AS (SELECT run_id, id, n, substr(r, i, n) AS g, count(*) AS c FROM (SELECT ru
 co AS (SELECT run_id, id, n, sum(least(gh.c, gr.c)) AS c FROM gh JOIN gr USING (run_id, id, n, g) GROUP BY run_id, id, n),
 pr AS (SELECT h.run_id, h.id, k.n, coalesce(co.c, 0) * 1.0 / greatest(length(h) - k.n + 1, 1) AS p, coalesce(co.c, 0) * 1.0 / greatest(length(r) - k.n + 1, 1) AS q FROM h CROSS JOIN (SELECT unnest(range(1, 7)) AS n) k LEFT JOIN co ON co.run_id = h.run_id AND co.id = h.id AND co.n = k.n),
 ch AS (SELECT run_id, id, sum(2 * p * q / greatest(p + q, 1e-12)) * 100 / 6 AS chrf FROM pr GROUP BY run_id, id)"""
+_WORDS = lambda x: f"list_filter(string_split(lower({sq(x)}), ' '), lambda w: w <> '')"
+_WORD_GRAMS = lambda t, c: f"{t} AS (SELECT run_id, id, n, array_to_string({c}[i:i + n - 1], chr(1)) AS g, count(*) AS c FROM (SELECT run_id, id, {c}, n, unnest(range(1, len({c}) - n + 2)) AS i FROM w, (SELECT unnest([1, 2]) AS n)) GROUP BY ALL)"
+REWARDS = f"""WITH {REPORT}, w AS (SELECT run_id, id, {_WORDS('prediction')} AS h, {_WORDS('reference')} AS r FROM rep),
+{_WORD_GRAMS('gh', 'h')}, {_WORD_GRAMS('gr', 'r')},
+co AS (SELECT run_id, id, n, sum(least(gh.c, gr.c)) AS c FROM gh JOIN gr USING (run_id, id, n, g) GROUP BY run_id, id, n),
+pq AS (SELECT w.run_id, w.id, k.n, h, r, coalesce(c, 0) * 1.0 / greatest(len(h) - k.n + 1, 1) AS p, coalesce(c, 0) * 1.0 / greatest(len(r) - k.n + 1, 1) AS q FROM w CROSS JOIN (SELECT unnest([1, 2]) AS n) k LEFT JOIN co ON co.run_id = w.run_id AND co.id = w.id AND co.n = k.n),
+f AS (SELECT run_id, id, any_value(len(h)) AS lh, any_value(len(r)) AS lr, sum(CASE WHEN n = 1 THEN 2 * p * q / greatest(p + q, 1e-12) ELSE 0 END) AS f1, sum(CASE WHEN n = 2 THEN 2 * p * q / greatest(p + q, 1e-12) ELSE 0 END) AS f2 FROM pq GROUP BY run_id, id)
+SELECT run_id, id, round(f1, 6) AS f1, round(CASE WHEN lh = 0 OR lr = 0 THEN 0 ELSE exp(least(0.0, 1 - lr * 1.0 / lh)) * (0.4 * f1 + 0.6 * f2) END, 6) AS reward FROM f"""
 PARAGRAPHS = "para AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS body, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS para_no FROM documents WHERE text IS NOT NULL)"
 _TOKENS = f"list_transform(list_filter(string_split({sq('source')}, ' '), lambda w: w <> ''), lambda w: length(w))"
 _PAD = lambda x: f"list_resize({x}, 12, 100)"
@@ -166,6 +174,7 @@ SQL = {
     "micro_batches": "WITH b AS (SELECT id, direction, length(source) AS length, (row_number() OVER (PARTITION BY direction ORDER BY id) - 1) // 8 AS batch FROM translation_eval) SELECT id, batch, length, max(length) OVER (PARTITION BY direction, batch) AS batch_length FROM b",
     "token_frames": f"WITH t AS (SELECT id, {_TOKENS} AS t FROM translation_eval) SELECT id, {_JOIN(_PAD('list_concat([101], t[1:10], [102])'))} AS encoder, {_JOIN(_PAD('list_concat([101], t[1:11])'))} AS decoder, {_JOIN(_PAD('list_concat(t[1:11], [102])'))} AS label, greatest(12 - len(t[1:10]) - 2, 0) + len(list_filter(t[1:10], lambda x: x = 100)) AS n_pads, CASE WHEN list_position(t[1:11], 102) > 0 THEN len(list_filter(t[1:list_position(t[1:11], 102) - 1], lambda x: x <> 100)) ELSE len(list_filter(t[1:11], lambda x: x <> 100)) END AS n_label FROM t",
     "banned_tokens": f"WITH t AS (SELECT id, {_TOKENS} AS t FROM translation_eval) SELECT id, array_to_string(list_sort(list_distinct(list_transform(list_filter(range(1, len(t)), lambda i: t[i] = t[-1]), lambda i: t[i + 1]))), ',') AS banned FROM t",
+    "rewards": REWARDS,
     "learning_rates": "SELECT o_orderkey, round(pow(512, -0.5) * least(pow(greatest(o_orderkey, 1), -0.5), greatest(o_orderkey, 1) * pow(4000, -1.5)) * 1e6, 6) AS rate FROM orders",
     "early_stopping": "WITH h AS (SELECT o_orderdate::DATE AS step, min(o_totalprice) AS loss FROM orders GROUP BY ALL), b AS (SELECT *, min(loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best, row_number() OVER (ORDER BY step) AS n FROM h), g AS (SELECT *, best IS NULL OR loss < best - 100.0 AS gained FROM b), k AS (SELECT *, n - max(CASE WHEN gained THEN n END) OVER (ORDER BY step) AS bad FROM g) SELECT step, loss, gained, bad, bad >= 5 AS stop FROM k",
     "case_problems": f"SELECT id, 'empty_text' AS problem FROM eval_report_rows WHERE trim(coalesce(source, '')) = '' OR trim(coalesce(reference, '')) = '' UNION ALL SELECT id, 'duplicate_id' FROM eval_report_rows GROUP BY id HAVING count(*) > 1",
