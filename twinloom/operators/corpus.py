@@ -41,9 +41,11 @@ def first_of(pairs: DataFrame, key: Column, order: str) -> DataFrame:
     The least order per key comes from a partial aggregation and is joined back, so a key with many rows never
     gathers in one task as it would in a window.
     """
-    keyed = pairs.withColumn("_key", key)
-    least = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min(order).alias("_least"))
-    return keyed.join(least, "_key", "left").withColumn("is_first", F.coalesce(F.col(order) == F.col("_least"), F.lit(False))).drop("_key", "_least")
+    # rows without a key get one of their own: no hot null key, and no null test to be pushed below the rules, where
+    # it would evaluate them again
+    keyed = pairs.withColumn("_key", key).withColumn("_own", F.coalesce("_key", F.concat(F.lit("#"), F.col(order).cast("string")), F.lit("#")))
+    least = keyed.groupBy("_own").agg(F.min(order).alias("_least"))
+    return keyed.join(least, "_own", "left").withColumn("is_first", F.col("_key").isNotNull() & F.coalesce(F.col(order) == F.col("_least"), F.lit(False))).drop("_key", "_own", "_least")
 
 
 def judged(pairs: DataFrame, order: str, reason: Column, key: Column) -> DataFrame:
