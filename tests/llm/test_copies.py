@@ -81,6 +81,16 @@ def test_overlap_finds_what_comparing_all_finds(spark):
     assert got == brute == want | {("s", n + 2)}
 
 
+def test_overlap_finds_an_edited_copy_beside_an_exact_one(spark):
+    rng = random.Random(11)
+    case = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(400))
+    # the edits break a part of each block, and what they break is rarer than what they leave
+    edited = "".join("7" if i % 50 == 25 else x for i, x in enumerate(case))
+    texts = [(0, case), (1, edited)]
+    c, t = spark.createDataFrame([("c", case)], "eval_id string, text string"), spark.createDataFrame(texts, "text_id long, text string")
+    assert {r["text_id"] for r in O.overlaps(c, t).collect()} == {0, 1}
+
+
 def test_overlap_of_empty_tables(spark):
     c = spark.createDataFrame([("a", "some text")], "eval_id string, text string")
     t = spark.createDataFrame([(1, "some text")], "text_id long, text string")

@@ -3,9 +3,10 @@
 Winnowing fingerprints. A text is brought to its consistent form, folded and reduced to letters and digits; of each
 window of `W` rolling hashes over `N` bytes the least is selected, so two texts that share `N + W - 1` bytes share a
 fingerprint. Training fingerprints are counted (only those that the cases also have, before any shuffle). A case is
-cut into `BLOCKS` blocks, and of each block the fingerprint rarest in training is a probe; the probes are joined with
-the training fingerprints. A case is found if one of these places is unaltered, whatever else changed. The texts of
-each joined pair are then compared: common seeds are chained, extended in both directions as long as they agree, and
+cut into `BLOCKS` blocks, and of each block those fingerprints are probes that are in at most `RARE` times as many
+texts as the block's rarest, plus `RARE_MORE` (so what one edited copy broke doesn't hide the others); the probes are
+joined with the training fingerprints. A copy is found if it holds one of the probes, whatever else changed; one that
+only holds fingerprints more frequent than that in every block is not. The texts of each joined pair are then compared: common seeds are chained, extended in both directions as long as they agree, and
 the share of the case that is covered decides, wherever its pieces stand (so a new order of the phrases doesn't
 matter).
 
@@ -31,6 +32,7 @@ from twinloom.llm import lookalikes
 
 N, W = 36, 8  # W is a power of two below N
 BLOCKS = 10
+RARE, RARE_MORE = 4, 8
 BITS = 25  # of a bitmap: 4 MB, whatever the data
 CHUNK = 1 << 16
 #: Shared stretches count from so many characters on (Latin and the like; wide scripts), at least so much must be covered.
@@ -278,9 +280,10 @@ def overlaps(cases: DataFrame, texts: DataFrame) -> DataFrame:
     cases = cases.dropDuplicates(["eval_id"])
     prints = K.keep(case_fingerprints(cases))
     counted = count_fingerprints(texts, bitmap_of(prints))
-    # the rarest of each block, with partial aggregation; a fingerprint that no text has can't find one
-    probes = prints.join(counted, "fp").groupBy("eval_id", "block").agg(F.min(F.struct("n", "fp")).alias("m")).select("eval_id", F.col("m.fp").alias("fp")).distinct()
-    probes = K.keep(probes)
+    # the rare ones of each block; a fingerprint that no text has can't find one
+    known = prints.join(counted, "fp")
+    least = known.groupBy("eval_id", "block").agg(F.min("n").alias("least"))
+    probes = K.keep(known.join(least, ["eval_id", "block"]).where(F.col("n") <= F.col("least") * RARE + RARE_MORE).select("eval_id", "fp").distinct())
     found = matches(texts, bitmap_of(probes)).join(probes, "fp").select("eval_id", "text_id").distinct()
     # the text comes last, by one shuffle of the texts on their id; the candidates are few against them
     rows = found.join(texts, "text_id").join(cases.withColumnRenamed("text", "case_text"), "eval_id")
