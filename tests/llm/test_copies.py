@@ -91,6 +91,15 @@ def test_overlap_finds_an_edited_copy_beside_an_exact_one(spark):
     assert {r["text_id"] for r in O.overlaps(c, t).collect()} == {0, 1}
 
 
+def test_overlap_finds_short_cases_with_several_edits(spark):
+    # no 36 bytes in a row are unaltered
+    rows = [("在喷泉旁边年轻记者托加卡修好了著名的路灯和盐以及一本历史书", "在喷泉旁边年轻记者托加号修好了著名的路灯和早以及一本历史书"), ("小猫在旧港口看海", "昨天小猫在旧港口看海吃了一条很大的鱼然后回家睡觉")]
+    c = spark.createDataFrame([(str(i), a) for i, (a, _) in enumerate(rows)], "eval_id string, text string")
+    t = spark.createDataFrame([(i, b) for i, (_, b) in enumerate(rows)], "text_id long, text string")
+    got = O.overlaps(c, t).where(F.col("covered") >= O.COVERED).collect()
+    assert {(r["eval_id"], r["text_id"]) for r in got} == {("0", 0), ("1", 1)}
+
+
 def test_overlap_of_empty_tables(spark):
     c = spark.createDataFrame([("a", "some text")], "eval_id string, text string")
     t = spark.createDataFrame([(1, "some text")], "text_id long, text string")

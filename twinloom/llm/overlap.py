@@ -10,9 +10,14 @@ only holds fingerprints more frequent than that in every block is not. The texts
 the share of the case that is covered decides, wherever its pieces stand (so a new order of the phrases doesn't
 matter).
 
+Copies with several edits may hold no such stretch. So short fingerprints (`SHORT` bytes) are selected too, and each is
+joined to a few that come `NEXT` places later: such a pair is about as rare as a long fingerprint, but what stands
+between its two may be altered. Cases of fewer than `ALONE` bytes, which hold few pairs, seed with single short ones.
+
 Bitmaps of fixed size keep fingerprints without a partner on the map side; they only save work. Candidate pairs are
 ids until the texts are joined to them. Frequent fingerprints are probes only of blocks that have no rarer ones.
-Null and blank texts match nothing; a case shorter than `N` bytes matches only records whose content equals it.
+Null and blank texts match nothing; a case of fewer than `SHORT + W - 1` bytes is sure to be found only in records
+whose content equals it.
 """
 
 from __future__ import annotations
@@ -31,9 +36,10 @@ from twinloom.llm import _codes as K
 from twinloom.llm import lookalikes
 
 N, W = 36, 8  # W is a power of two below N
+SHORT, NEXT, ALONE = 12, (6, 8, 10), 80
 BLOCKS = 10
 RARE, RARE_MORE = 4, 8
-BITS = 25  # of a bitmap: 4 MB, whatever the data
+BITS = 27  # of a bitmap: 16 MB, whatever the data
 CHUNK = 1 << 16
 #: Shared stretches count from so many characters on (Latin and the like; wide scripts), at least so much must be covered.
 RUN_LETTERS, RUN_WIDE, COVERED = 8, 3, 0.82
@@ -58,24 +64,24 @@ def contents(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return data, ends[starts]
 
 
-def winnow(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Selected fingerprints of each text: owner, place in it, hash. A text of fewer than N bytes has one of all it holds."""
-    h = K.rolling(data, N) if len(data) >= N else np.zeros(0, np.uint64)
-    short = np.flatnonzero((np.diff(starts) < N) & (np.diff(starts) > 0))
+def winnow(data: np.ndarray, starts: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Selected fingerprints of each text: owner, place in it, hash. A text of fewer than n bytes has one of all it holds."""
+    h = K.rolling(data, n) if len(data) >= n else np.zeros(0, np.uint64)
+    short = np.flatnonzero((np.diff(starts) < n) & (np.diff(starts) > 0))
     raw = data.tobytes() if len(short) else b""
     whole = np.array([int.from_bytes(blake2b(raw[starts[i] : starts[i + 1]], digest_size=8).digest(), "little") for i in short], np.uint64)
     if not len(h):
         return short, np.zeros(len(short), np.int64), whole
     place = np.arange(len(h))
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(h)]
-    last = starts[owner + 1] - N  # the last place at which a hash of the same text starts
+    last = starts[owner + 1] - n  # the last place at which a hash of the same text starts
     ok = place <= last
     # the least hash of each window; its low bits hold the distance, so that ties go to the first
     low = np.uint64(W - 1)
     keyed = np.where(ok, (h & ~low), np.uint64(0xFFFFFFFFFFFFFFF8))
     best, at = keyed, place
     step = 1
-    while step < W:  # by doubling; the N - 1 > W last places of each text hold the greatest value, so no window reaches the next
+    while step < W:  # by doubling; the n - 1 > W last places of each text hold the greatest value, so no window reaches the next
         less = best[step:] < best[:-step]
         best = np.concatenate([np.where(less, best[step:], best[:-step]), best[-step:]])
         at = np.concatenate([np.where(less, at[step:], at[:-step]), at[-step:]])
@@ -86,6 +92,22 @@ def winnow(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.concatenate([owner[chosen], short]), np.concatenate([chosen - starts[owner[chosen]], np.zeros(len(short), np.int64)]), np.concatenate([h[chosen], whole])
 
 
+def seeds(data: np.ndarray, starts: np.ndarray, alone: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Long fingerprints, pairs of short ones, and single short ones (of texts of fewer than `alone` bytes, if given): as `winnow`."""
+    found = [winnow(data, starts)]
+    owner, place, h = winnow(data, starts, SHORT)
+    long = np.diff(starts)[owner] >= SHORT
+    owner, place, h = owner[long], place[long], h[long]
+    for k in NEXT:
+        at = np.flatnonzero(owner[k:] == owner[:-k])
+        first = h[at]
+        pair = (first ^ (first >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[at + k]
+        found.append((owner[at], place[at], pair ^ (pair >> np.uint64(32))))
+    ok = slice(None) if alone is None else np.diff(starts)[owner] < alone
+    found.append((owner[ok], place[ok], h[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.astype(np.uint64).view(np.int64)
 
@@ -109,10 +131,10 @@ def bitmap_of(hashes: DataFrame) -> Bitmap:
     """The bitmap of a column `fp`, built where the hashes are; parts of fixed size are united by place."""
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.zeros(1 << BITS, bool)
+        words = np.zeros((1 << BITS) // 8, np.uint8)
         for pdf in batches:
-            bits[Bitmap.slots(pdf["fp"].to_numpy(np.int64))] = True
-        words = np.packbits(bits, bitorder="little")
+            s = Bitmap.slots(pdf["fp"].to_numpy(np.int64))
+            np.bitwise_or.at(words, s >> 3, np.left_shift(1, s & 7).astype(np.uint8))
         for at in range(0, len(words), CHUNK):
             piece = words[at : at + CHUNK]
             if piece.any():
@@ -139,7 +161,7 @@ def case_fingerprints(cases: DataFrame) -> DataFrame:
             values, ids = pdf["text"].tolist(), pdf["eval_id"].to_numpy()
             for low, high in K.chunks(values):
                 data, starts = contents(values[low:high])
-                owner, place, h = winnow(data, starts)
+                owner, place, h = seeds(data, starts, ALONE)
                 block = place * BLOCKS // np.maximum(1, np.diff(starts)[owner] - N + 1)
                 yield pd.DataFrame({"eval_id": ids[low:high][owner], "block": np.minimum(block, BLOCKS - 1), "fp": _signed(h)})
 
@@ -155,7 +177,7 @@ def count_fingerprints(texts: DataFrame, wanted: Bitmap) -> DataFrame:
         for pdf in batches:
             values = pdf["text"].tolist()
             for low, high in K.chunks(values):
-                owner, _, h = winnow(*contents(values[low:high]))
+                owner, _, h = seeds(*contents(values[low:high]))
                 ok = shared.value.has(h)
                 held.append(_signed(h[ok]))
                 size += int(ok.sum())
@@ -178,7 +200,7 @@ def matches(texts: DataFrame, wanted: Bitmap) -> DataFrame:
         for pdf in batches:
             values, ids = pdf["text"].tolist(), pdf["text_id"].to_numpy()
             for low, high in K.chunks(values):
-                owner, _, h = winnow(*contents(values[low:high]))
+                owner, _, h = seeds(*contents(values[low:high]))
                 ok = shared.value.has(h)
                 yield pd.DataFrame({"fp": _signed(h[ok]), "text_id": ids[low:high][owner[ok]]})
 
