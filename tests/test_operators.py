@@ -1,5 +1,6 @@
 """Operators against sequential versions on small tables, and the defined results of empty and dirty ones."""
 
+import hashlib
 import io
 import random
 import zipfile
@@ -80,6 +81,18 @@ def test_selection_is_the_sequential_one(spark, seed):
     assert sorted(map(tuple, got.collect())) == _sequential(pools, 36, {"capped": 0.2}, seed)
 
 
+def test_selection_goes_on_behind_two_full_domains(spark):
+    digest = lambda k: hashlib.md5(f"{k}#1".encode()).hexdigest()
+    keys = sorted((f"k{i}" for i in range(140)), key=digest)
+    # the first pool fills both caps; behind its quota the second ranks rows of the two full domains first
+    one = [(f"a{i}", d) for i, d in enumerate(("x", "y"))]
+    two = [(k, "free" if i < 2 else "x" if i < 22 else "y" if i < 42 else "free") for i, k in enumerate(keys)]
+    frames = [(n, w, spark.createDataFrame(rows, "key string, domain string")) for n, w, rows in (("p0", 0.9, one), ("p1", 0.1, two))]
+    caps = {"x": 0.05, "y": 0.05}
+    got = selection.select(frames, 20, caps, 1, keep)
+    assert sorted(map(tuple, got.collect())) == _sequential([("p0", 0.9, one), ("p1", 0.1, two)], 20, caps, 1)
+
+
 def test_bootstrap_is_pythons(spark):
     d = [0.5, -1.0, 2.0, 1.5]
     frame = spark.createDataFrame([(f"c{i}", x) for i, x in enumerate(d)], "id string, d double")

@@ -98,10 +98,11 @@ def select(pools: list[tuple[str, float, DataFrame]], total: int, caps: dict[str
             rest = part if rest is None else rest.unionByName(part)
         need = total - size
         rest = rest.join(chosen.select("key"), "key", "left_anti")
-        # whatever the others take, a pool's turn never reaches beyond 2 * need of its rows (need taken, need skipped)
+        # a pool's turns never reach beyond need rows taken and need skipped as taken by others, besides rows of domains
+        # without room; a capped domain has room for what is left of its cap, and as many are skipped as taken by others
         front = None
         for i in range(len(ranked)):
-            part = take(rest.where(F.col("pool_no") == i), 2 * need, {d: n + need for d, n in room.items()})
+            part = take(rest.where(F.col("pool_no") == i), 2 * need + sum(n + need for n in room.values()), {d: n + need for d, n in room.items()})
             front = part if front is None else front.unionByName(part)
         # turns depend on each other; the rows that can matter are bounded by the size of the selection, a parameter
         fill = keep(front.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(_rounds(need, dict(room)), front.drop("pool_no").schema).select("key", "domain", "rank", "pool", F.lit("fill").alias("phase")))
