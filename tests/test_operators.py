@@ -81,6 +81,16 @@ def test_selection_is_the_sequential_one(spark, seed):
     assert sorted(map(tuple, got.collect())) == _sequential(pools, 36, {"capped": 0.2}, seed)
 
 
+def test_prepared_pairs_are_fully_normalised(spark, tmp_path):
+    from twinloom.plans import queries
+
+    rows = [(1, ("你好，世界Ａ", "Tom &amp; Ann"), "c"), (2, ("你好,世界A", "Tom\u200b & Ann"), "c")]
+    spark.createDataFrame(rows, "pair_id long, translation struct<zh_CN: string, en_GB: string>, corpus string").write.parquet(f"{tmp_path}/parallel_pairs.parquet")
+    assert [tuple(r) for r in queries.accepted_pairs(spark, str(tmp_path)).collect()] == [(1, "你好,世界A", "Tom & Ann")]
+    assert {(r["reason"], r["n"]) for r in queries.pair_reasons(spark, str(tmp_path)).collect()} == {("accepted", 1), ("duplicate", 1)}
+    assert {(r["reason"], r["n"]) for r in queries.fast_length(spark, str(tmp_path)).collect()} == {("accepted", 1), ("duplicate", 1)}
+
+
 def test_selection_goes_on_behind_two_full_domains(spark):
     digest = lambda k: hashlib.md5(f"{k}#1".encode()).hexdigest()
     keys = sorted((f"k{i}" for i in range(140)), key=digest)

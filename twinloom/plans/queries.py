@@ -28,15 +28,18 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.clean_pairs(_t(spark, sf_dir, "parallel_pairs")).drop("translation")
 
 
+def _prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs as corpus preparation has them: fully normalised (fine-tuning only squeezes white space)."""
+    return corpus.clean_pairs(_t(spark, sf_dir, "parallel_pairs"), full=True).drop("translation")
+
+
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir)
+    p = _prepared(spark, sf_dir)
     return corpus.judged(p, "pair_id", filters.pair_reason(F.col("zh"), F.col("en")), T.pair_key(F.col("zh"), F.col("en")))
 
 
 def corpus_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = corpus.clean_pairs(_t(spark, sf_dir, "parallel_pairs"), full=True).drop("translation")
-    judged = corpus.judged(p, "pair_id", filters.pair_reason(F.col("zh"), F.col("en")), T.pair_key(F.col("zh"), F.col("en")))
-    return corpus.histogram(judged, "corpus")
+    return corpus.histogram(_judged(spark, sf_dir), "corpus")
 
 
 def pair_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +59,7 @@ def corpus_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fast_length(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir)
+    p = _prepared(spark, sf_dir)
     reason = F.coalesce(filters.pair_reason(F.col("zh"), F.col("en")), filters.fast_length_reason(F.col("zh"), F.col("en")))
     return corpus.histogram(corpus.judged(p, "pair_id", reason, T.pair_key(F.col("zh"), F.col("en"))))
 
@@ -121,8 +124,8 @@ def fraction_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def raw_new_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Delivered pairs that the corpus doesn't have, per feed."""
-    raw = corpus.clean_pairs(readers.pairs_from_json(F.col("payload"), _t(spark, sf_dir, "raw_records"))).where("zh <> '' AND en <> ''").withColumn("k", T.pair_key(F.col("zh"), F.col("en")))
-    known = _pairs(spark, sf_dir).select(T.pair_key(F.col("zh"), F.col("en")).alias("k"))
+    raw = corpus.clean_pairs(readers.pairs_from_json(F.col("payload"), _t(spark, sf_dir, "raw_records")), full=True).where("zh <> '' AND en <> ''").withColumn("k", T.pair_key(F.col("zh"), F.col("en")))
+    known = _prepared(spark, sf_dir).select(T.pair_key(F.col("zh"), F.col("en")).alias("k"))
     return corpus.not_in(raw, known, "k").groupBy("feed").agg(F.count("*").alias("n"), F.countDistinct("k").alias("n_distinct"))
 
 
