@@ -206,3 +206,13 @@ def test_stream_accepts_each_pair_once(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("accepted").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.table("accepted").count() == 1
+
+
+def test_bootstrap_query_draws_the_default_number(monkeypatch):
+    from twinloom.plans import queries
+
+    given = []
+    monkeypatch.setattr(queries, "_difference", lambda *_: None)
+    monkeypatch.setattr(queries.evaluation, "bootstrap_poisson", lambda *a, **k: given.append((a, k)))
+    queries.bootstrap(None, "")
+    assert given == [((None,), {})]

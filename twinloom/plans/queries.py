@@ -215,12 +215,12 @@ def paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.bootstrap_poisson(_difference(spark, sf_dir), samples=400)
+    return evaluation.bootstrap_poisson(_difference(spark, sf_dir))
 
 
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = evaluation.scored(_report(spark, sf_dir))
-    return evaluation.gate(evaluation.summary(s.where("run_id = 'run-cand'")), evaluation.summary(s.where("run_id = 'run-base'")), evaluation.bootstrap_poisson(_difference(spark, sf_dir), samples=400))
+    return evaluation.gate(evaluation.summary(s.where("run_id = 'run-cand'")), evaluation.summary(s.where("run_id = 'run-base'")), evaluation.bootstrap_poisson(_difference(spark, sf_dir)))
 
 
 def cache_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
