@@ -107,14 +107,50 @@ def test_overlap_of_empty_tables(spark):
     assert O.overlaps(c, t).count() == 1
 
 
-def test_winnowing_keeps_a_fingerprint_of_every_long_common_stretch():
+def test_winnowing_keeps_a_fingerprint_of_every_unaltered_block():
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
-    for _ in range(30):
-        common = word(O.N + O.W - 1)
-        data, starts = O.contents([word(20) + common + word(9), word(3) + common + word(40)])
-        owner, _, h = O.winnow(data, starts)
-        assert set(h[owner == 0].tolist()) & set(h[owner == 1].tolist())
+    for n, w in O.LADDER:
+        for _ in range(20):
+            common = word(n + w - 1)
+            data, starts = O.contents([word(20) + common + word(9), word(3) + common + word(40)])
+            owner, _, h = O.fingerprints(data, starts, n, w)
+            assert set(h[owner == 0].tolist()) & set(h[owner == 1].tolist())
+            hashed, at, inside = O.winnow(data, starts, n, w)
+            assert all(hashed[at[i]] == hashed[i : i + w].min() for i in range(len(hashed) - w) if inside[i])
+
+
+def _short_cases(rng):
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    wide = lambda n: "".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(n))
+    return [letters(n) for n in (3, 5, 10, 16, 20, 27, 28, 40, 50, 66, 90, 104, 130)] + [wide(n) for n in (1, 2, 3, 5, 9, 10, 20, 30, 35)]
+
+
+def test_overlap_finds_short_cases_changed_at_any_place_or_contained(spark):
+    rng = random.Random(8)
+    cases = [(str(i), c) for i, c in enumerate(_short_cases(rng))]
+    texts = []
+    for _, c in cases:
+        other = "z" if c.isascii() else "龘"
+        texts += [c[:k] + other + c[k + 1 :] for k in range(len(c))]
+        texts += ["Before it, " + c + " and then after.", "前面" + c + "后面的字", c.upper(), c[len(c) // 2 :] + " " + c[: len(c) // 2]]
+        texts += [c[: k - 1] + c[k:] for k in range(1, len(c), 7)]
+    c = spark.createDataFrame(cases, "eval_id string, text string")
+    t = spark.createDataFrame(list(enumerate(texts)), "text_id long, text string").repartition(4)
+    got = {(r["eval_id"], r["text_id"]) for r in O.overlaps(c, t).where(F.col("covered") >= O.COVERED).collect()}
+    content = O._content_strings(texts)
+    brute = {(i, k) for (i, _), a in zip(cases, O._content_strings([x for _, x in cases]), strict=True) for k, b in enumerate(content) if b and O.coverage(a, b) >= O.COVERED}
+    assert got == brute and len(brute) > 400
+
+
+def test_overlap_splits_hot_seeds_and_cases(spark, monkeypatch):
+    rng = random.Random(9)
+    case = _sentence(rng)
+    monkeypatch.setattr(O.K.split_join, "__defaults__", (None, 5, 10))
+    c = spark.createDataFrame([("a", case), ("b", case), ("c", _sentence(rng))], "eval_id string, text string")
+    t = spark.createDataFrame([(i, case if i % 3 else _sentence(rng)) for i in range(60)], "text_id long, text string")
+    got = {(r["eval_id"], r["text_id"]) for r in O.overlaps(c, t).where(F.col("covered") >= O.COVERED).collect()}
+    assert got == {(x, i) for x in "ab" for i in range(60) if i % 3}
 
 
 @pytest.mark.parametrize("case, text, covered", [("abcdefghijklmnop", "xxabcdefghijklmnopyy", 1.0), ("abcdefghijklmnop", "zzzz", 0.0)])

@@ -1,23 +1,25 @@
 """Evaluation cases that recur in training records, exactly or nearly (problem 2).
 
-Winnowing fingerprints. A text is brought to its consistent form, folded and reduced to letters and digits; of each
-window of `W` rolling hashes over `N` bytes the least is selected, so two texts that share `N + W - 1` bytes share a
-fingerprint. Training fingerprints are counted (only those that the cases also have, before any shuffle). A case is
-cut into `BLOCKS` blocks, and of each block those fingerprints are probes that are in at most `RARE` times as many
-texts as the block's rarest, plus `RARE_MORE` (so what one edited copy broke doesn't hide the others); the probes are
-joined with the training fingerprints. A copy is found if it holds one of the probes, whatever else changed; one that
-only holds fingerprints more frequent than that in every block is not. The texts of each joined pair are then compared: common seeds are chained, extended in both directions as long as they agree, and
-the share of the case that is covered decides, wherever its pieces stand (so a new order of the phrases doesn't
-matter).
-
-Copies with several edits may hold no such stretch. So short fingerprints (`SHORT` bytes) are selected too, and each is
-joined to a few that come `NEXT` places later: such a pair is about as rare as a long fingerprint, but what stands
-between its two may be altered. Cases of fewer than `ALONE` bytes, which hold few pairs, seed with single short ones.
-
-Bitmaps of fixed size keep fingerprints without a partner on the map side; they only save work. Candidate pairs are
-ids until the texts are joined to them. Frequent fingerprints are probes only of blocks that have no rarer ones.
-Null and blank texts match nothing; a case of fewer than `SHORT + W - 1` bytes is sure to be found only in records
-whose content equals it.
+Winnowing fingerprints. A text is brought to its consistent form, folded and reduced to letters and digits (bytes). A
+case of at least `PAIRED` bytes is cut into blocks of about `BLOCK` bytes (a shorter one into `LEAST_BLOCKS`), and the
+fingerprints that winnowing selects inside a block are the least rolling hashes of its windows; their length follows
+the block's, so that every block holds at least one, and any record that holds a block unaltered selects the same ones.
+Training fingerprints are counted (only those the cases have, before any shuffle), and the rarest of each block is its
+probe. Two probes of one case that stand within `SPAN` blocks of each other make a seed: a record is joined to a case if
+it holds two blocks of it unaltered, in any order, whatever else changed. Cases of 8 to `PAIRED` bytes seed with each
+8-byte hash (a copy that covers enough of so short a case holds one), still shorter ones with their rarest 3-byte (or
+single-byte) hash, for only a record that holds them whole can match.
+
+Blocks that are much more frequent than their case's others (`FREQUENT` times the median: stock phrases) make no seeds
+as long as more than half of the span's blocks are left; a copy has two of those unless over half of its blocks are
+altered. The texts of each joined pair are then compared: common stretches are chained, extended in both directions as
+long as they agree, and the share of the case that is covered decides, wherever its pieces stand.
+
+Bitmaps keep fingerprints and seeds without a partner on the map side; they have `BITS_PER_KEY` bits a key, at most
+2**`MOST_BITS` in all, and only save work. Candidate pairs are ids until the texts are joined to them, and only texts
+of candidates are shuffled. Seeds and cases that very many records share are split by a salt.
+
+Null and blank texts match nothing; repeated case ids count once, with one of their texts; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -35,11 +37,15 @@ from pyspark.sql import functions as F
 from twinloom.llm import _codes as K
 from twinloom.llm import lookalikes
 
-N, W = 36, 8  # W is a power of two below N
-SHORT, NEXT, ALONE = 12, (6, 8, 10), 80
-BLOCKS = 10
-RARE, RARE_MORE = 4, 8
-BITS = 27  # of a bitmap: 16 MB, whatever the data
+BLOCK, LEAST_BLOCKS, SPAN, FREQUENT = 26, 4, 20, 16
+#: Lengths of fingerprints and their windows; a block has the longest for which both fit into it.
+LADDER = ((6, 2), (8, 3), (11, 4), (15, 5), (20, 6))
+PAIRED = LEAST_BLOCKS * (LADDER[0][0] + LADDER[0][1] - 1)
+#: Fingerprint lengths of cases that are too short for pairs, and from how many bytes on.
+ALONE = ((1, 1), (3, 3), (8, 8))
+#: Two probes make a seed if a text holds them within so many bytes: a span of blocks, a quarter more for insertions.
+REACH = SPAN * BLOCK * 2 * 5 // 8
+BITS_PER_KEY, LEAST_BITS, MOST_BITS = 32, 20, 30
 CHUNK = 1 << 16
 #: Shared stretches count from so many characters on (Latin and the like; wide scripts), at least so much must be covered.
 RUN_LETTERS, RUN_WIDE, COVERED = 8, 3, 0.82
@@ -64,48 +70,52 @@ def contents(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return data, ends[starts]
 
 
-def winnow(data: np.ndarray, starts: np.ndarray, n: int = N) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Selected fingerprints of each text: owner, place in it, hash. A text of fewer than n bytes has one of all it holds."""
-    h = K.rolling(data, n) if len(data) >= n else np.zeros(0, np.uint64)
-    short = np.flatnonzero((np.diff(starts) < n) & (np.diff(starts) > 0))
-    raw = data.tobytes() if len(short) else b""
-    whole = np.array([int.from_bytes(blake2b(raw[starts[i] : starts[i + 1]], digest_size=8).digest(), "little") for i in short], np.uint64)
-    if not len(h):
-        return short, np.zeros(len(short), np.int64), whole
-    place = np.arange(len(h))
+def hashes(data: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rolling hashes of n bytes, the text each starts in, and the last place at which one of that text starts."""
+    if len(data) < n:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = K.rolling(data, n)
     owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))[: len(h)]
-    last = starts[owner + 1] - n  # the last place at which a hash of the same text starts
-    ok = place <= last
-    # the least hash of each window; its low bits hold the distance, so that ties go to the first
-    low = np.uint64(W - 1)
-    keyed = np.where(ok, (h & ~low), np.uint64(0xFFFFFFFFFFFFFFF8))
-    best, at = keyed, place
-    step = 1
-    while step < W:  # by doubling; the n - 1 > W last places of each text hold the greatest value, so no window reaches the next
-        less = best[step:] < best[:-step]
-        best = np.concatenate([np.where(less, best[step:], best[:-step]), best[-step:]])
-        at = np.concatenate([np.where(less, at[step:], at[:-step]), at[-step:]])
-        step *= 2
-    # windows that fit into the text, and the first window of texts shorter than a window
-    first = place == starts[owner]
-    chosen = np.unique(at[ok & ((place + W - 1 <= last) | first)])
-    return np.concatenate([owner[chosen], short]), np.concatenate([chosen - starts[owner[chosen]], np.zeros(len(short), np.int64)]), np.concatenate([h[chosen], whole])
-
-
-def seeds(data: np.ndarray, starts: np.ndarray, alone: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Long fingerprints, pairs of short ones, and single short ones (of texts of fewer than `alone` bytes, if given): as `winnow`."""
-    found = [winnow(data, starts)]
-    owner, place, h = winnow(data, starts, SHORT)
-    long = np.diff(starts)[owner] >= SHORT
-    owner, place, h = owner[long], place[long], h[long]
-    for k in NEXT:
-        at = np.flatnonzero(owner[k:] == owner[:-k])
-        first = h[at]
-        pair = (first ^ (first >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[at + k]
-        found.append((owner[at], place[at], pair ^ (pair >> np.uint64(32))))
-    ok = slice(None) if alone is None else np.diff(starts)[owner] < alone
-    found.append((owner[ok], place[ok], h[ok]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+    return h, owner, starts[owner + 1] - n
+
+
+def winnow(data: np.ndarray, starts: np.ndarray, n: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per place: the hash of n bytes there, where the least hash of the w from here on stands, and whether all lie in one text."""
+    h, owner, last = hashes(data, starts, n)
+    place = np.arange(len(h))
+    best, at, step = h, place, 1
+    while step < w:  # by doubling, the last step by what is left; ties go to the first
+        by = min(step, w - step)
+        less = best[by:] < best[: len(best) - by]
+        best = np.concatenate([np.where(less, best[by:], best[: len(best) - by]), best[len(best) - by :]])
+        at = np.concatenate([np.where(less, at[by:], at[: len(at) - by]), at[len(at) - by :]])
+        step += by
+    return h, at, place + w - 1 <= last
+
+
+def fingerprints(data: np.ndarray, starts: np.ndarray, n: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Selected fingerprints of texts in order: text, place, hash; of equal ones in a row only the first."""
+    h, at, inside = winnow(data, starts, n, w)
+    place = np.unique(at[inside])
+    owner = np.searchsorted(starts, place, "right") - 1
+    h = h[place]
+    new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
+    return owner[new], place[new], h[new]
+
+
+def blocks_of(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per text of so many bytes: number of blocks, their size, and the place in LADDER (-1 if it is too short for pairs)."""
+    count = np.maximum(LEAST_BLOCKS, lengths // BLOCK)
+    size = lengths // count
+    return count, size, np.searchsorted([n + w - 1 for n, w in LADDER], size, "right") - 1
+
+
+def pair_key(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two fingerprints in any order."""
+    low, high = np.minimum(a, b), np.maximum(a, b)
+    with np.errstate(over="ignore"):
+        key = (low ^ (low >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + high * np.uint64(0x9E3779B97F4A7C15)
+    return key ^ (key >> np.uint64(32))
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -113,27 +123,29 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 
 class Bitmap:
-    """A set of hashes in 2**BITS bits: no false negatives, fixed size."""
+    """A set of hashes in 2**bits bits: no false negatives."""
 
     def __init__(self, words: np.ndarray):
-        self.words = words
+        self.words, self.bits = words, int(np.log2(len(words))) + 3
 
     @staticmethod
-    def slots(h: np.ndarray) -> np.ndarray:
-        return (h.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
+    def slots(h: np.ndarray, bits: int) -> np.ndarray:
+        return (h.view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)
 
     def has(self, h: np.ndarray) -> np.ndarray:
-        s = self.slots(h)
+        s = self.slots(h, self.bits)
         return (self.words[s >> 3] >> (s & 7).astype(np.uint8)) & 1 > 0
 
 
-def bitmap_of(hashes: DataFrame) -> Bitmap:
-    """The bitmap of a column `fp`, built where the hashes are; parts of fixed size are united by place."""
+def bitmap_of(keys: DataFrame) -> Bitmap:
+    """The bitmap of a long column `key`, built where the keys are; parts of fixed size are united by place."""
+    count = keys.count()
+    bits = min(MOST_BITS, max(LEAST_BITS, (count * BITS_PER_KEY).bit_length()))
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = np.zeros((1 << BITS) // 8, np.uint8)
+        words = np.zeros((1 << bits) // 8, np.uint8)
         for pdf in batches:
-            s = Bitmap.slots(pdf["fp"].to_numpy(np.int64))
+            s = Bitmap.slots(pdf["key"].to_numpy(np.int64), bits)
             np.bitwise_or.at(words, s >> 3, np.left_shift(1, s & 7).astype(np.uint8))
         for at in range(0, len(words), CHUNK):
             piece = words[at : at + CHUNK]
@@ -146,41 +158,79 @@ def bitmap_of(hashes: DataFrame) -> Bitmap:
             total |= np.frombuffer(piece, np.uint8)
         return pd.DataFrame({"at": [pdf["at"].iloc[0]], "piece": [total.tobytes()]})
 
-    words = np.zeros((1 << BITS) // 8, np.uint8)
-    # 2**BITS / 8 bytes in all, whatever the number of hashes
-    for r in hashes.select("fp").mapInPandas(part, "at long, piece binary").groupBy("at").applyInPandas(unite, "at long, piece binary").collect():
+    words = np.zeros((1 << bits) // 8, np.uint8)
+    # at most 2**MOST_BITS / 8 bytes in all
+    for r in keys.select("key").mapInPandas(part, "at long, piece binary").groupBy("at").applyInPandas(unite, "at long, piece binary").collect():
         words[r["at"] : r["at"] + CHUNK] = np.frombuffer(r["piece"], np.uint8)
     return Bitmap(words)
 
 
+def _case_blocks(values: list[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """length of fingerprints, case, block, fp: what winnowing selects inside the blocks of each case."""
+    data, starts = contents(values)
+    lengths = np.diff(starts)
+    count, size, rung = blocks_of(lengths)
+    for k, (n, w) in enumerate(LADDER):
+        if not (rung == k).any():
+            continue
+        h, at, inside = winnow(data, starts, n, w)
+        place = np.flatnonzero(inside)
+        owner = np.searchsorted(starts, place, "right") - 1
+        place, owner = place[rung[owner] == k], owner[rung[owner] == k]
+        at_case = place - starts[owner]
+        block = at_case // size[owner]
+        fits = (block < count[owner]) & (at_case + n + w - 1 <= (block + 1) * size[owner])
+        yield n, owner[fits], block[fits], h[at[place[fits]]]
+    alone = np.where(rung < 0, np.searchsorted([low for low, _ in ALONE], lengths, "right") - 1, -1)
+    for k, (_, n) in enumerate(ALONE):
+        if (alone == k).any():
+            h, owner, last = hashes(data, starts, n)
+            place = np.flatnonzero(np.arange(len(h)) <= last)
+            place = place[alone[owner[place]] == k]
+            # negative blocks seed alone; all of the longer ones do, of the shorter ones the rarest
+            block = -1 - (place - starts[owner[place]] if n == ALONE[-1][1] else 0 * place)
+            yield n, owner[place], block, h[place]
+
+
 def case_fingerprints(cases: DataFrame) -> DataFrame:
-    """eval_id, block, fp of each case."""
+    """case_no, n, block, fp of each case."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            values, ids = pdf["text"].tolist(), pdf["eval_id"].to_numpy()
+            values, ids = pdf["text"].tolist(), pdf["case_no"].to_numpy()
             for low, high in K.chunks(values):
-                data, starts = contents(values[low:high])
-                owner, place, h = seeds(data, starts, ALONE)
-                block = place * BLOCKS // np.maximum(1, np.diff(starts)[owner] - N + 1)
-                yield pd.DataFrame({"eval_id": ids[low:high][owner], "block": np.minimum(block, BLOCKS - 1), "fp": _signed(h)})
+                for n, case, block, fp in _case_blocks(values[low:high]):
+                    yield pd.DataFrame({"case_no": ids[low:high][case], "n_bytes": n, "block": block, "fp": _signed(fp)}).drop_duplicates()
+
+    return cases.mapInPandas(run, "case_no long, n_bytes int, block int, fp long")
+
 
-    return cases.mapInPandas(run, "eval_id string, block int, fp long")
+def _selected(values: list[str], lengths: list[int]) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """length, text, place, fp of a training text for each length of fingerprints that the cases need."""
+    data, starts = contents(values)
+    windows = dict(LADDER)
+    paired, alone = [n for n in lengths if n > 0], [-n for n in lengths if n < 0]
+    for n in paired:
+        yield n, *fingerprints(data, starts, n, windows[n])
+    for n in alone:
+        h, owner, last = hashes(data, starts, n)
+        place = np.flatnonzero(np.arange(len(h)) <= last)
+        yield -n, owner[place], place, h[place]
 
 
-def count_fingerprints(texts: DataFrame, wanted: Bitmap) -> DataFrame:
-    """fp, n: in how many texts each wanted fingerprint was selected; counted per task before the shuffle."""
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)  # of fixed size
+def count_fingerprints(texts: DataFrame, wanted: Bitmap, lengths: list[int]) -> DataFrame:
+    """fp, n: how often each wanted fingerprint was selected; counted per task before the shuffle."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)  # of bounded size
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
         for pdf in batches:
             values = pdf["text"].tolist()
             for low, high in K.chunks(values):
-                owner, _, h = seeds(*contents(values[low:high]))
-                ok = shared.value.has(h)
-                held.append(_signed(h[ok]))
-                size += int(ok.sum())
+                for _, _, _, h in _selected(values[low:high], lengths):
+                    h = h[shared.value.has(h)]
+                    held.append(_signed(h))
+                    size += len(h)
                 if size > 1_500_000:
                     fp, n = np.unique(np.concatenate(held), return_counts=True)
                     yield pd.DataFrame({"fp": fp, "n": n})
@@ -192,19 +242,58 @@ def count_fingerprints(texts: DataFrame, wanted: Bitmap) -> DataFrame:
     return texts.select("text").mapInPandas(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
 
 
-def matches(texts: DataFrame, wanted: Bitmap) -> DataFrame:
-    """fp, text_id of the training fingerprints that are in the bitmap."""
-    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+def case_seeds(known: DataFrame) -> DataFrame:
+    """case_no, key, fps: the seeds of each case. known: case_no, block, fp, n, the rarest fingerprint of each block."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for case, entries in zip(pdf["case_no"], pdf["entries"], strict=True):
+                fp = np.array([e["fp"] for e in entries], np.int64).view(np.uint64)
+                n = np.array([e["n"] for e in entries], np.int64)
+                order = np.argsort(n, kind="stable")
+                rank = np.empty(len(n), np.int64)
+                rank[order] = np.arange(len(n))
+                kept = fp[(rank < len(n) // 2 + 2) | (n <= FREQUENT * n[order[len(n) // 2]])]
+                a, b = np.triu_indices(len(kept), 1)
+                if len(a):
+                    key = np.unique(pair_key(kept[a], kept[b]))
+                    yield pd.DataFrame({"case_no": case, "key": _signed(key), "fps": [_signed(kept)] + [None] * (len(key) - 1)})
+
+    spans = known.where("block >= 0").groupBy("case_no", F.floor(F.col("block") / SPAN).alias("span")).agg(F.collect_list(F.struct("n", "fp")).alias("entries"))  # at most SPAN entries
+    pairs = spans.mapInPandas(run, "case_no long, key long, fps array<long>")
+    return pairs.unionAll(known.where("block < 0").select("case_no", F.col("fp").alias("key"), F.array("fp").alias("fps")))
+
+
+def matches(texts: DataFrame, probes: Bitmap, seeds: Bitmap, lengths: list[int]) -> DataFrame:
+    """key, text_id of the seeds that a training text holds."""
+    shared = texts.sparkSession.sparkContext.broadcast((probes, seeds))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own, wanted = shared.value
         for pdf in batches:
             values, ids = pdf["text"].tolist(), pdf["text_id"].to_numpy()
             for low, high in K.chunks(values):
-                owner, _, h = seeds(*contents(values[low:high]))
-                ok = shared.value.has(h)
-                yield pd.DataFrame({"fp": _signed(h[ok]), "text_id": ids[low:high][owner[ok]]})
-
-    return texts.mapInPandas(run, "fp long, text_id long")
+                found = []
+                for n, text, place, h in _selected(values[low:high], lengths):
+                    ok = own.has(h)
+                    text, place, h = text[ok], place[ok], h[ok]
+                    if n < 0:
+                        found.append((h, text))
+                        continue
+                    step = 1
+                    while step < len(h):  # pairs of the probes that are `step` apart, as long as any are near enough
+                        near = np.flatnonzero((text[step:] == text[:-step]) & (place[step:] - place[:-step] <= REACH))
+                        if not len(near):
+                            break
+                        key = pair_key(h[near], h[near + step])
+                        ok = wanted.has(key)
+                        found.append((key[ok], text[near[ok]]))
+                        step += 1
+                if found:
+                    key, text = (np.concatenate(x) for x in zip(*found, strict=True))
+                    yield pd.DataFrame({"key": _signed(key), "text_id": ids[low:high][text]}).drop_duplicates()
+
+    return texts.mapInPandas(run, "key long, text_id long")
 
 
 @lru_cache(maxsize=4096)
@@ -298,18 +387,24 @@ def texts_of(pairs: DataFrame) -> DataFrame:
 
 
 def overlaps(cases: DataFrame, texts: DataFrame) -> DataFrame:
-    """eval_id, text_id, covered of each case and text that share a probe."""
-    cases = cases.dropDuplicates(["eval_id"])
-    prints = K.keep(case_fingerprints(cases))
-    counted = count_fingerprints(texts, bitmap_of(prints))
-    # the rare ones of each block; a fingerprint that no text has can't find one
-    known = prints.join(counted, "fp")
-    least = known.groupBy("eval_id", "block").agg(F.min("n").alias("least"))
-    probes = K.keep(known.join(least, ["eval_id", "block"]).where(F.col("n") <= F.col("least") * RARE + RARE_MORE).select("eval_id", "fp").distinct())
-    found = matches(texts, bitmap_of(probes)).join(probes, "fp").select("eval_id", "text_id").distinct()
-    # the text comes last, by one shuffle of the texts on their id; the candidates are few against them
-    rows = found.join(texts, "text_id").join(cases.withColumnRenamed("text", "case_text"), "eval_id")
-    return scored(rows)
+    """eval_id, text_id, covered of each case and text that share a seed."""
+    # two ids of equal hash are only compared in vain: the case's own text decides
+    cases = cases.dropDuplicates(["eval_id"]).withColumn("case_no", F.xxhash64("eval_id"))
+    prints = K.keep(case_fingerprints(cases.select("case_no", "text")))
+    # at most a row per length; negative lengths seed alone
+    lengths = [r[0] for r in prints.select(F.when(F.col("block") < 0, -F.col("n_bytes")).otherwise(F.col("n_bytes"))).distinct().collect()]
+    counted = count_fingerprints(texts, bitmap_of(prints.select(F.col("fp").alias("key"))), lengths)
+    # the rarest of each block; a fingerprint that no text has can't find one
+    rarest = prints.join(counted, "fp").groupBy("case_no", "block").agg(F.min(F.struct("n", "fp")).alias("m")).select("case_no", "block", "m.*")
+    seeds = K.keep(case_seeds(rarest))
+    probes = bitmap_of(seeds.select(F.explode("fps").alias("key")))
+    held = K.keep(matches(texts, probes, bitmap_of(seeds.select("key")), lengths))
+    found = K.keep(K.split_join(held, seeds.select("key", "case_no"), "key").select("case_no", "text_id").distinct())
+    # only texts of candidates are shuffled
+    near = texts.sparkSession.sparkContext.broadcast(bitmap_of(found.select(F.xxhash64("text_id").alias("key"))))
+    candidate = F.pandas_udf(lambda x: pd.Series(near.value.has(x.to_numpy(np.int64))), "boolean")
+    rows = found.join(texts.where(candidate(F.xxhash64("text_id"))), "text_id")
+    return scored(K.split_join(rows, cases.withColumnRenamed("text", "case_text"), "case_no", counted=found))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
