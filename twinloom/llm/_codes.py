@@ -151,22 +151,22 @@ def keep(df):
     return df.checkpoint()
 
 
-def split_join(many, few, key: str, counted=None, least: int = 100_000, most: int = 10_000):
-    """Inner join on a key that any share of the rows of `many` may have: rows of hot keys are spread over salts.
+def split_join(many, few, keys: list[str], counts=None, least: int = 100_000, most: int = 10_000):
+    """Inner join on keys that any share of the rows of `many` may have: rows of hot keys are spread over salts.
 
     A key is hot with more than `least` rows and more than 1 / `most` of all, so there are fewer than `most` hot keys
-    and the table of them is small whatever the data. `counted` is a kept table with the same keys (by default `many`).
+    and the table of them is small whatever the data. `counts` has each key's number of rows, `n` (by default counted).
     """
-    rows = counted if counted is not None else many
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
-    bound = max(least, rows.count() // most)
-    hot = counts.where(F.col("_n") > bound).select(key, F.ceil(F.col("_n") / bound).cast("int").alias("_salts")).collect()  # fewer than `most` rows
-    if not hot:
-        return many.join(few, key)
-    salts = F.broadcast(many.sparkSession.createDataFrame(hot, f"{key} {dict(many.dtypes)[key]}, _salts int"))
-    spread = many.join(salts, key, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_salts").cast("long")).cast("int"), F.lit(0)))
-    each = few.join(salts, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
-    return spread.drop("_salts").join(each, [key, "_salt"]).drop("_salt")
+    counts = many.groupBy(*keys).agg(F.count("*").alias("n")) if counts is None else counts.select(*keys, "n")
+    total, top = counts.agg(F.sum("n"), F.max("n")).first()
+    bound = max(least, (total or 0) // most)
+    if (top or 0) <= bound:
+        return many.join(few, keys)
+    hot = counts.where(F.col("n") > bound).select(*keys, F.ceil(F.col("n") / bound).cast("int").alias("_salts")).collect()  # fewer than `most` rows
+    salts = F.broadcast(many.sparkSession.createDataFrame(hot, ", ".join(f"{k} {t}" for k, t in counts.select(*keys).dtypes) + ", _salts int"))
+    spread = many.join(salts, keys, "left").withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(*many.columns), F.col("_salts").cast("long")).cast("int"), F.lit(0)))
+    each = few.join(salts, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_salts") - 1, F.lit(0))))).drop("_salts")
+    return spread.drop("_salts").join(each, [*keys, "_salt"]).drop("_salt")
 
 
 @lru_cache(maxsize=1)

@@ -93,10 +93,32 @@ def winnow(data: np.ndarray, starts: np.ndarray, n: int, w: int) -> tuple[np.nda
     return h, at, place + w - 1 <= last
 
 
+def _slide(values: np.ndarray, w: int, best) -> np.ndarray:
+    """best (np.minimum or np.maximum) of each w values in a row, by doubling."""
+    step = 1
+    while step < w:
+        by = min(step, w - step)
+        values = best(values[by:], values[:-by])
+        step += by
+    return values
+
+
 def fingerprints(data: np.ndarray, starts: np.ndarray, n: int, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Selected fingerprints of texts in order: text, place, hash; of equal ones in a row only the first."""
-    h, at, inside = winnow(data, starts, n, w)
-    place = np.unique(at[inside])
+    """Selected fingerprints of texts in order: text, place, hash; of equal ones in a row only the first.
+
+    A hash is selected if it is the least of a window that it is in: if the greatest of its windows' minima is itself.
+    """
+    none = np.zeros(0, np.int64)
+    if len(data) < n + w - 1:
+        return none, none, np.zeros(0, np.uint64)
+    h = K.rolling(data, n)
+    least = _slide(h, w, np.minimum)
+    ends = starts[1:]
+    beyond = ends[:, None] - np.arange(1, n + w - 1)  # windows that reach into the next text
+    beyond = beyond[beyond >= starts[:-1, None]]
+    least[beyond[beyond < len(least)]] = 0
+    pad = np.zeros(w - 1, np.uint64)
+    place = np.flatnonzero(_slide(np.concatenate([pad, least, pad]), w, np.maximum) == h)
     owner = np.searchsorted(starts, place, "right") - 1
     h = h[place]
     new = np.append(True, (h[1:] != h[:-1]) | (owner[1:] != owner[:-1]))[: len(h)]
@@ -138,7 +160,7 @@ class Bitmap:
 
 
 def bitmap_of(keys: DataFrame) -> Bitmap:
-    """The bitmap of a long column `key`, built where the keys are; parts of fixed size are united by place."""
+    """The bitmap of a kept long column `key`, built where the keys are; parts of fixed size are united by place."""
     count = keys.count()
     bits = min(MOST_BITS, max(LEAST_BITS, (count * BITS_PER_KEY).bit_length()))
 
@@ -242,26 +264,37 @@ def count_fingerprints(texts: DataFrame, wanted: Bitmap, lengths: list[int]) ->
     return texts.select("text").mapInPandas(run, "fp long, n long").groupBy("fp").agg(F.sum("n").alias("n"))
 
 
+def _span_seeds(case: np.ndarray, n: np.ndarray, fp: np.ndarray) -> Iterator[pd.DataFrame]:
+    """Seeds and probes of spans with equally many blocks: a row each of counts and fingerprints."""
+    order = np.argsort(n, axis=1, kind="stable")
+    n, fp = np.take_along_axis(n, order, 1), np.take_along_axis(fp, order, 1)
+    blocks = n.shape[1]
+    kept = (np.arange(blocks) < blocks // 2 + 2) | (n <= FREQUENT * n[:, [blocks // 2]])
+    a, b = np.triu_indices(blocks, 1)
+    row, pair = np.nonzero(kept[:, a] & kept[:, b])
+    key = pair_key(fp[row, a[pair]], fp[row, b[pair]])
+    yield pd.DataFrame({"case_no": case[row], "key": _signed(key), "probe": False}).drop_duplicates()
+    row, block = np.nonzero(kept)
+    yield pd.DataFrame({"case_no": case[row], "key": _signed(fp[row, block]), "probe": True})
+
+
 def case_seeds(known: DataFrame) -> DataFrame:
-    """case_no, key, fps: the seeds of each case. known: case_no, block, fp, n, the rarest fingerprint of each block."""
+    """case_no, key, probe: the seeds of each case, and the fingerprints they are made of (`probe`).
+
+    known: case_no, block, fp, n, the rarest fingerprint of each block.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for case, entries in zip(pdf["case_no"], pdf["entries"], strict=True):
-                fp = np.array([e["fp"] for e in entries], np.int64).view(np.uint64)
-                n = np.array([e["n"] for e in entries], np.int64)
-                order = np.argsort(n, kind="stable")
-                rank = np.empty(len(n), np.int64)
-                rank[order] = np.arange(len(n))
-                kept = fp[(rank < len(n) // 2 + 2) | (n <= FREQUENT * n[order[len(n) // 2]])]
-                a, b = np.triu_indices(len(kept), 1)
-                if len(a):
-                    key = np.unique(pair_key(kept[a], kept[b]))
-                    yield pd.DataFrame({"case_no": case, "key": _signed(key), "fps": [_signed(kept)] + [None] * (len(key) - 1)})
-
-    spans = known.where("block >= 0").groupBy("case_no", F.floor(F.col("block") / SPAN).alias("span")).agg(F.collect_list(F.struct("n", "fp")).alias("entries"))  # at most SPAN entries
-    pairs = spans.mapInPandas(run, "case_no long, key long, fps array<long>")
-    return pairs.unionAll(known.where("block < 0").select("case_no", F.col("fp").alias("key"), F.array("fp").alias("fps")))
+            size = pdf["n"].map(len).to_numpy()
+            for blocks in np.unique(size[size > 1]):
+                part = pdf[size == blocks]
+                yield from _span_seeds(part["case_no"].to_numpy(), np.stack(part["n"].to_list()), np.stack(part["fp"].to_list()).view(np.uint64))
+
+    entries = F.collect_list(F.struct("n", "fp"))  # at most SPAN
+    spans = known.where("block >= 0").groupBy("case_no", F.floor(F.col("block") / SPAN).alias("span")).agg(entries.alias("e")).select("case_no", F.col("e.n").alias("n"), F.col("e.fp").alias("fp"))
+    alone = known.where("block < 0").select("case_no", F.col("fp").alias("key"), F.explode(F.array(F.lit(False), F.lit(True))).alias("probe"))
+    return spans.mapInPandas(run, "case_no long, key long, probe boolean").unionAll(alone)
 
 
 def matches(texts: DataFrame, probes: Bitmap, seeds: Bitmap, lengths: list[int]) -> DataFrame:
@@ -397,14 +430,14 @@ def overlaps(cases: DataFrame, texts: DataFrame) -> DataFrame:
     # the rarest of each block; a fingerprint that no text has can't find one
     rarest = prints.join(counted, "fp").groupBy("case_no", "block").agg(F.min(F.struct("n", "fp")).alias("m")).select("case_no", "block", "m.*")
     seeds = K.keep(case_seeds(rarest))
-    probes = bitmap_of(seeds.select(F.explode("fps").alias("key")))
-    held = K.keep(matches(texts, probes, bitmap_of(seeds.select("key")), lengths))
-    found = K.keep(K.split_join(held, seeds.select("key", "case_no"), "key").select("case_no", "text_id").distinct())
+    probes, seeds = seeds.where("probe"), seeds.where("NOT probe")
+    held = K.keep(matches(texts, bitmap_of(probes), bitmap_of(seeds), lengths))
+    found = K.keep(K.split_join(held, seeds.select("key", "case_no"), ["key"]).select("case_no", "text_id").distinct())
     # only texts of candidates are shuffled
     near = texts.sparkSession.sparkContext.broadcast(bitmap_of(found.select(F.xxhash64("text_id").alias("key"))))
     candidate = F.pandas_udf(lambda x: pd.Series(near.value.has(x.to_numpy(np.int64))), "boolean")
     rows = found.join(texts.where(candidate(F.xxhash64("text_id"))), "text_id")
-    return scored(K.split_join(rows, cases.withColumnRenamed("text", "case_text"), "case_no", counted=found))
+    return scored(K.split_join(rows, cases.withColumnRenamed("text", "case_text"), ["case_no"], found.groupBy("case_no").agg(F.count("*").alias("n"))))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
