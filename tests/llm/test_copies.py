@@ -37,7 +37,7 @@ def test_formatting_is_set_aside_but_content_is_not(spark):
 
 def test_empty_and_hot(spark, monkeypatch):
     assert copies(spark, []) == set()
-    monkeypatch.setattr(D, "HOT_SHARE", 1)
+    monkeypatch.setattr(D.K.split_join, "__defaults__", (None, 5, 10))
     rows = [(i, ("热 " * (i % 3 + 1), "hot")) if i % 2 else (i, ("热热", f"cold {i}")) for i in range(1, 41)]
     want = {}
     for i, (a, b) in rows:
@@ -47,7 +47,9 @@ def test_empty_and_hot(spark, monkeypatch):
 
 def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(D, "fingerprint", lambda fields: (F.lit(1).cast("long"), F.lit(2).cast("long")))
-    assert copies(spark, [(1, ("甲", "a")), (2, ("乙", "b")), (3, ("甲", "A")), (4, ("乙", "B")), (5, ("丙", "c"))]) == {(1, 3), (2, 4)}
+    rows = [(1, ("甲", "a")), (2, ("乙", "b")), (3, ("甲", "A")), (4, ("乙", "B")), (5, ("丙", "c")), (6, ("甲", None))]
+    assert copies(spark, rows) == {(1, 3), (2, 4)}
+    assert {tuple(r) for r in D.distinct(spark.createDataFrame(rows, SIDES)).collect()} == {(1, 2), (2, 2), (5, 1)}
 
 
 def test_payloads(spark):

@@ -1,10 +1,11 @@
 """Records that repeat each other in other formatting (problem 3).
 
-Each field is reduced to its content, hashed, and the hashes are added up (a commutative multiset hash, twice, modulo
-2**61 each, so the order and naming of the fields don't matter). Groups come from the fingerprint with partial
-aggregation before the shuffle; each member's fields are then compared with those of its group's smallest record,
-without sorting. A group may hold any share of all rows: fingerprints with at least a thousandth of the rows are at
-most a thousand and are joined by broadcast, the others by a shuffle join with bounded keys.
+Each field is reduced to its content; its role and content are hashed together, and the hashes are added up (a
+commutative multiset hash, twice, modulo 2**61 each, so the order of the fields doesn't matter). Which text stands in
+which field and how the fields are named is set aside here, so both sides have the same role; `fingerprint` takes other
+roles. Groups come from the fingerprint with partial aggregation before the shuffle; each member's fields are then
+compared with those of its group's smallest record, without sorting. A group may hold any share of all rows: joins on
+the fingerprint and on the kept record's id spread large groups over salts.
 
 Null or blank sides and broken payloads are left out; a table without rows gives no rows. Records whose fingerprints
 collide although their fields differ are grouped again by the fields themselves, so a collision costs time only.
@@ -26,7 +27,7 @@ POINT = r"[.．](?:(?!\p{Nd})|(?<!\p{Nd}.))"
 #: White space but for no-break spaces, and punctuation.
 NOISE = r"[\p{IsPunctuation}\s\u0085  -  -    　&&[^.．]]+"
 MASK = (1 << 61) - 1
-HOT_SHARE = 1000
+ROLE = "text"  # of both sides: naming and order are set aside
 
 
 def content(text: Column) -> Column:
@@ -40,13 +41,13 @@ def content(text: Column) -> Column:
     return F.nullif(F.regexp_replace(F.regexp_replace(folded, POINT, ""), NOISE, ""), F.lit(""))
 
 
-def fingerprint(fields: list[Column]) -> tuple[Column, Column]:
+def fingerprint(fields: list[tuple[str, Column]]) -> tuple[Column, Column]:
     """Sums modulo 2**61 of two hashes of each (role, value); the same for any order of the fields."""
     sums = []
     for seed in ("a", "b"):
         total = F.lit(0).cast("long")
-        for f in fields:
-            total = (total + F.xxhash64(F.lit(seed), f).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK))
+        for role, f in fields:
+            total = (total + F.xxhash64(F.lit(f"{seed}:{role}"), f).bitwiseAND(F.lit(MASK))).bitwiseAND(F.lit(MASK))
         sums.append(total)
     return sums[0], sums[1]
 
@@ -77,7 +78,7 @@ def contents(sides: DataFrame) -> DataFrame:
 def fingerprints(sides: DataFrame) -> DataFrame:
     """id, h1, h2 of the records that have both sides; three numbers a record are kept, so texts are reduced once."""
     both = F.col("a").isNotNull() & F.col("b").isNotNull()
-    h1, h2 = (F.when(both, h) for h in fingerprint([F.col("a"), F.col("b")]))
+    h1, h2 = (F.when(both, h) for h in fingerprint([(ROLE, F.col("a")), (ROLE, F.col("b"))]))
     return K.keep(contents(sides).select("id", h1.alias("h1"), h2.alias("h2"))).where("h1 IS NOT NULL")
 
 
@@ -91,25 +92,16 @@ def _same() -> Column:
     return ((a == c) & (b == d)) | ((a == d) & (b == c))
 
 
-def copies(sides: DataFrame) -> DataFrame:
+def copies(sides: DataFrame, prints: DataFrame | None = None) -> DataFrame:
     """keep_id, copy_id: each member of a group of equal records but its smallest id. sides: id (unique), translation."""
-    prints = fingerprints(sides)
+    prints = fingerprints(sides) if prints is None else prints
     groups = K.keep(groups_of(prints))
-    total = groups.agg(F.sum("n")).first()[0] or 0
-    bound = max(1000, total // HOT_SHARE)
-    # at most HOT_SHARE groups can be hot, whatever the data
-    hot = prints.join(F.broadcast(groups.where(F.col("n") > bound).drop("n")), ["h1", "h2"]).select("id", "keep_id", F.lit(True).alias("hot"))
-    cold = prints.join(groups.where(F.col("n") <= bound).drop("n"), ["h1", "h2"]).select("id", "keep_id", F.lit(False).alias("hot"))
-    members = K.keep(hot.unionAll(cold))
+    members = K.keep(K.split_join(prints, groups.drop("n"), ["h1", "h2"], groups).select("id", "keep_id"))
     # only members are reduced once more; ids are unique, so this join has no hot key
-    rows = K.keep(contents(sides.join(members.where("NOT hot"), "id")))
-    judged = rows.where("id <> keep_id").alias("m").join(rows.where("id = keep_id").alias("k"), F.col("m.keep_id") == F.col("k.id")).select("m.keep_id", F.col("m.id").alias("copy_id"), _same().alias("same"))
-    if total > bound and not members.where("hot").isEmpty():
-        # fields of hot groups are compared by digests, so the broadcast side is at most HOT_SHARE rows of fixed size
-        digests = contents(sides.join(members.where("hot"), "id")).select("id", "keep_id", F.sha2("a", 512).alias("a"), F.sha2("b", 512).alias("b"))
-        kept = F.broadcast(digests.where("id = keep_id").select("id", "a", "b"))
-        judged = judged.unionAll(digests.where("id <> keep_id").alias("m").join(kept.alias("k"), F.col("m.keep_id") == F.col("k.id")).select("m.keep_id", F.col("m.id").alias("copy_id"), _same().alias("same")))
-    judged = K.keep(judged)
+    rows = K.keep(contents(sides.join(members, "id")))
+    first = rows.where("id = keep_id").select("keep_id", F.col("a").alias("a0"), F.col("b").alias("b0"))
+    same = ((F.col("a") == F.col("a0")) & (F.col("b") == F.col("b0"))) | ((F.col("a") == F.col("b0")) & (F.col("b") == F.col("a0")))
+    judged = K.keep(K.split_join(rows.where("id <> keep_id"), first, ["keep_id"], groups.select("keep_id", "n")).select("keep_id", F.col("id").alias("copy_id"), same.alias("same")))
     sure = judged.where("same").select("keep_id", "copy_id")
     strays = judged.where("NOT same").select(F.col("copy_id").alias("id"))
     if strays.isEmpty():
@@ -120,6 +112,19 @@ def copies(sides: DataFrame) -> DataFrame:
     return sure.unionAll(rest.join(own, ["p", "q"]).where("id <> keep_id").select("keep_id", F.col("id").alias("copy_id")))
 
 
+def distinct(sides: DataFrame) -> DataFrame:
+    """keep_id, n_copies: one row per distinct record, its smallest id and how many records equal it, itself included.
+
+    Counted from the verified copies, so colliding records stay apart.
+    """
+    prints = fingerprints(sides)
+    pairs = copies(sides, prints)
+    # an id's row says whether it is a copy, and how many copies it has: one shuffle on ids, which are unique
+    had = pairs.groupBy("keep_id").agg(F.count("*").alias("n")).select(F.col("keep_id").alias("id"), "n")
+    marks = prints.select("id", F.lit(1).alias("n")).unionAll(had).unionAll(pairs.select(F.col("copy_id").alias("id"), F.lit(None)))
+    return marks.groupBy("id").agg(F.sum("n").alias("n"), F.count_if(F.col("n").isNull()).alias("copy")).where("copy = 0").select(F.col("id").alias("keep_id"), F.col("n").alias("n_copies"))
+
+
 def _sides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sides_of(spark.read.parquet(f"{sf_dir}/parallel_pairs.parquet"), spark.read.parquet(f"{sf_dir}/raw_records.parquet"))
 
@@ -130,5 +135,4 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def distinct_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per distinct record: its smallest id and the number of records that are equal to it, itself included."""
-    groups = fingerprints(_sides(spark, sf_dir)).groupBy("h1", "h2").agg(F.min("id").alias("keep_id"), F.count("*").alias("n_copies"))
-    return groups.select("keep_id", "n_copies")
+    return distinct(_sides(spark, sf_dir))
