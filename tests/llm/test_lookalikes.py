@@ -22,12 +22,18 @@ def test_plain_texts(text):
 
 def test_every_changed_character_is_suspect():
     suspect = re.compile(L.SUSPECT)
-    allowed = {0xB5, 0x1E9B, *range(0x2474, 0x249C), *range(0x1F100, 0x1F10B)}  # symbols of their own
-    for i in range(0x30000):
+    for i in range(0x110000):
         c = chr(i)
-        if not 0xD800 <= i <= 0xDFFF and unicodedata.normalize("NFC", c) == c and L.consistent(c) != c:
-            assert i in allowed or suspect.match(c), hex(i)
-    assert all(suspect.match(c) for c in [*L.LOOKALIKES, *L.RADICALS])
+        if 0xD800 <= i <= 0xDFFF:
+            continue
+        if L.consistent(c) != c:
+            assert suspect.match(c), hex(i)
+        parts = unicodedata.decomposition(c).split()
+        if len(parts) == 2 and not parts[0].startswith("<") and unicodedata.normalize("NFC", unicodedata.normalize("NFD", c)) == c:
+            mark = chr(int(parts[1], 16))
+            assert suspect.match(mark), hex(i)
+    assert all(suspect.match(c) for c in [*L.LOOKALIKES, *L.RADICALS, *map(chr, range(0x1100, 0x1200))])
+    assert all(L.consistent(c) == c for c in "µ⑴⒛")
 
 
 def test_equal_looks_become_equal_texts(spark):
@@ -42,3 +48,11 @@ def test_tables(spark):
     frame = L.sides(spark.createDataFrame(rows, "pair_id long, translation struct<zh_CN: string, en_GB: string>"))
     assert sorted((r["pair_id"], r["field"]) for r in L.cases(frame).collect()) == [(1, "zh_CN"), (3, "en_GB")]
     assert L.cases(frame.limit(0)).count() == 0
+
+
+def test_groups_and_their_members(spark, tmp_path):
+    texts = [(1, "cafe\u0301"), (2, "café"), (3, "other"), (4, "ｃafé"), (5, "other"), (6, None)]
+    rows = [(i, (None, t)) for i, t in texts]
+    spark.createDataFrame(rows, "pair_id long, translation struct<zh_CN: string, en_GB: string>").write.parquet(f"{tmp_path}/parallel_pairs.parquet")
+    assert [(r["first_pair_id"], r["n_texts"], r["n_spellings"]) for r in L.groups(spark, str(tmp_path)).collect()] == [(1, 3, 3)]
+    assert sorted(map(tuple, L.members(spark, str(tmp_path)).collect())) == [(1, "en_GB", 1, True), (2, "en_GB", 1, False), (4, "en_GB", 1, False)]

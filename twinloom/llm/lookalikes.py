@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinloom.llm import _codes as K
+
 # Letters of other scripts and the Latin letters they look like.
 LOOKALIKES = {
     "а": "a", "с": "c", "ԁ": "d", "е": "e", "һ": "h", "і": "i", "ј": "j", "к": "k", "ӏ": "l", "о": "o", "р": "p", "ԛ": "q", "ѕ": "s", "у": "y", "ѵ": "v", "ԝ": "w", "х": "x", "ү": "y", "ո": "n", "օ": "o", "ս": "u", "հ": "h", "ց": "g", "զ": "q",
@@ -27,6 +29,11 @@ LOOKALIKES = {
     "α": "a", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "υ": "u", "γ": "y", "ϲ": "c", "ϳ": "j",
     "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϲ": "C",
     "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮐ": "G", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮮ": "L", "Ꮇ": "M", "Ꮲ": "P", "Ꭱ": "R", "Ꮪ": "S", "Ꭲ": "T", "Ꮩ": "V", "Ꮤ": "W", "Ꮓ": "Z",
+    "ω": "w", "τ": "t", "η": "n", "ь": "b",
+    "ꓮ": "A", "ꓐ": "B", "ꓚ": "C", "ꓓ": "D", "ꓰ": "E", "ꓝ": "F", "ꓖ": "G", "ꓧ": "H", "ꓲ": "I", "ꓙ": "J", "ꓗ": "K", "ꓡ": "L", "ꓟ": "M", "ꓠ": "N", "ꓳ": "O", "ꓑ": "P", "ꓣ": "R", "ꓢ": "S", "ꓔ": "T", "ꓴ": "U", "ꓦ": "V", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓜ": "Z",
+    "Ⲁ": "A", "Ⲃ": "B", "Ⲉ": "E", "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "Ⲣ": "P", "Ⲥ": "C", "Ⲧ": "T", "Ⲩ": "Y", "Ⲭ": "X", "Ⲍ": "Z", "ⲟ": "o", "ⲣ": "p", "ⲥ": "c", "ⲩ": "y", "ⲭ": "x", "ⲓ": "i", "ⲕ": "k", "ⲱ": "w",
+    "𐐄": "O", "𐐬": "o", "𐐕": "C", "𐐽": "c", "𐐠": "S", "𐑈": "s",
+    "ᴄ": "c", "ᴏ": "o", "ꜱ": "s", "ᴠ": "v", "ᴡ": "w", "ᴢ": "z", "ᴛ": "t", "ɪ": "i",
     "ɑ": "a", "ɡ": "g",
 }
 # Radical forms without a compatibility decomposition and the characters they stand for.
@@ -35,13 +42,23 @@ RADICALS = {
 }
 NO_BREAK = "   "
 FORMS = {"<wide>", "<narrow>", "<font>", "<compat>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>"}
-#: Blocks that hold every character the rules or tables above change; plain texts hold none of them.
-SUSPECT = "[ ­ĲĳĿŀŉſǄ-ǌǱ-ǳɑɡ̀-֏؜ٵ-ٸำຳໜໝཷཹᅟᅠᎠ-᏿឴឵᠋-᠏᪰-᫿ᴀ-᷿ẚ᾽-῁ ​-‏‪- ⁠-⁯⃐-⃿℀-↏⺀-⿟〸-〺ㄱ-ㆎㅤ㈀-㏿ꚜ-ꟿꭜ-ꭟ豈-ﭏﭐ-﷿︀-️︠-︯ﹰ-﻿０-９Ａ-Ｚａ-ｚｦ-ￜ\U0001d400-\U0001d7ff\U0001ee00-\U0001eeff\U0001fbf0-\U0001fbf9\U0002f800-\U0002fa1f\U000e0000-\U000e01ef]"
+#: Ranges that hold every character the rules or tables above change, and every mark that composes with a letter before
+#: it; wider than need be, so that they are few. Plain texts hold none of them.
+SUSPECT = (
+    "[ ­ĲĳĿŀŉſǄ-ǌǱ-ǳɑɡɪ̀-֏؜ٓ-ٕٵ-ٸ"
+    "ऀ-῿   ​-‏‪- ⁠-⁯⃐-↏〈〉⫝̸Ⲁ-⳿⺀-⿟〸-〺゙゚"
+    "ㄱ-ㆎ㈀-㏿ꓐ-꓿ꚜ-ꟿꭜ-ꭟ豈-﫿ﬀ-﷿︀-️︠-︯ﹰ-﻿"
+    "０-９Ａ-Ｚａ-ｚｦ-ￜ\U00010400-\U0001044f\U00011000-\U00011fff\U0001d100-\U0001d7ff\U0001ee00-\U0001eeff"
+    "\U0001fbf0-\U0001fbf9\U0002f800-\U0002fa1f\U000e0000-\U000e01ef]"
+)
+#: Symbols of their own, though they have a compatibility form.
+OWN = "[µẛ⑴-⒛🄀-🄊]"
 _WORD = re.compile(r"[^\W\d_⺀-鿿가-퟿豈-﫿\U00020000-\U0003ffff][̀-ͯ]*(?:[^\W\d_⺀-鿿가-퟿豈-﫿\U00020000-\U0003ffff]|[̀-ͯ])*")
 _FOREIGN = re.compile("[" + "".join(LOOKALIKES) + "]")
 _LATIN = re.compile("[A-Za-zÀ-ɏ]")
 _ACCENT = re.compile("[A-Za-zÀ-ɏḀ-ỿ][̀-ͯ]")
 _INVISIBLE = re.compile("[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ\U000e0000-\U000e01ef]")
+_OWN = re.compile(OWN)
 _JOINABLE = re.compile("[؀-ۿऀ-෿ក-៿᠀-᢯]")
 
 
@@ -53,7 +70,7 @@ def prototype(char: str) -> str:
     if char in NO_BREAK:
         return " "
     decomposed = unicodedata.decomposition(char)
-    if not decomposed:
+    if not decomposed or _OWN.match(char):
         return char
     tag = decomposed.split()[0]
     compat = tag in FORMS
@@ -112,16 +129,14 @@ def sides(pairs: DataFrame) -> DataFrame:
     return pairs.select("pair_id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f"translation.{f}").alias("text")) for f in ("zh_CN", "en_GB")))).alias("s")).select("pair_id", "s.*").where("text IS NOT NULL")
 
 
-def normalised(texts: DataFrame) -> DataFrame:
-    """Adds `form`, the consistent form of `text`. Plain texts keep theirs without leaving the JVM."""
-    suspect = F.col("text").rlike(SUSPECT)
+def _forms(texts: pd.Series) -> pd.Series:
+    return texts.map(consistent, na_action="ignore")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(form=[consistent(t) for t in pdf["text"]])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.schema) + ", form string"
-    return texts.where(suspect).mapInPandas(run, schema).unionAll(texts.where(~suspect | F.col("text").isNull()).withColumn("form", F.col("text")))
+def normalised(texts: DataFrame) -> DataFrame:
+    """Adds `form`, the consistent form of `text`, in one scan: plain texts go to Python as nulls and keep their own."""
+    suspect = F.when(F.col("text").rlike(SUSPECT), F.col("text"))
+    return texts.withColumn("form", F.coalesce(F.pandas_udf(_forms, "string")(suspect), F.col("text")))
 
 
 def cases(texts: DataFrame) -> DataFrame:
@@ -138,11 +153,28 @@ def found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases(sides(spark.read.parquet(f"{sf_dir}/parallel_pairs.parquet"))).select("pair_id", "field")
 
 
+def _spelt(texts: DataFrame) -> DataFrame:
+    """pair_id, field, skeleton (hash of the consistent form), spelling (hash of the text)."""
+    return normalised(texts).select("pair_id", "field", F.sha2("form", 256).alias("skeleton"), F.xxhash64("text").alias("spelling"))
+
+
 def groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts of equal skeleton that have several spellings: the first pair, how many texts and spellings.
 
     Two aggregations with partial counts before each shuffle; only hashes travel, so no group gathers in a task.
     """
-    forms = normalised(sides(spark.read.parquet(f"{sf_dir}/parallel_pairs.parquet")))
-    spelt = forms.groupBy("field", F.sha2("form", 256).alias("skeleton_hash"), F.xxhash64("text").alias("spelling")).agg(F.count("*").alias("n"), F.min("pair_id").alias("first"))
-    return spelt.groupBy("field", "skeleton_hash").agg(F.min("first").alias("first_pair_id"), F.sum("n").alias("n_texts"), F.count("*").alias("n_spellings")).where("n_spellings > 1")
+    forms = _spelt(sides(spark.read.parquet(f"{sf_dir}/parallel_pairs.parquet")))
+    spelt = forms.groupBy("field", "skeleton", "spelling").agg(F.count("*").alias("n"), F.min("pair_id").alias("first"))
+    return spelt.groupBy("field", "skeleton").agg(F.min("first").alias("first_pair_id"), F.sum("n").alias("n_texts"), F.count("*").alias("n_spellings")).where("n_spellings > 1").withColumnRenamed("skeleton", "skeleton_hash")
+
+
+def members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of those groups: pair_id, field, class_id (the group's first pair), and whether the text is spelt as that one.
+
+    The groups' rows are joined back by skeleton; a skeleton that very many texts share is spread over salts.
+    """
+    forms = K.keep(_spelt(sides(spark.read.parquet(f"{sf_dir}/parallel_pairs.parquet"))))
+    spelt = forms.groupBy("field", "skeleton", "spelling").agg(F.count("*").alias("n"), F.min("pair_id").alias("first"))
+    several = K.keep(spelt.groupBy("field", "skeleton").agg(F.min(F.struct("first", "spelling")).alias("m"), F.sum("n").alias("n"), F.count("*").alias("k")).where("k > 1"))
+    rows = K.split_join(forms, several.select("field", "skeleton", F.col("m.first").alias("class_id"), F.col("m.spelling").alias("own")), ["field", "skeleton"], several)
+    return rows.select("pair_id", "field", "class_id", (F.col("spelling") == F.col("own")).alias("same_spelling"))

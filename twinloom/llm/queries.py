@@ -14,6 +14,7 @@ QUERIES = {
     "p3_distinct_records": duplicates.distinct_records,
     "p4_found": lookalikes.found,
     "p4_groups": lookalikes.groups,
+    "p4_members": lookalikes.members,
     "p5_found": leakage.found,
     "p5_items": leakage.leaked_items,
     "p6_mixture": mixture.chosen,
