@@ -5,7 +5,7 @@ import pytest
 
 from twinloom.llm import lookalikes as L
 
-CASES = ["Ｈello", "１２ km", "ﬁnd", "café", "a​b", "no break", "tеxt", "sсhool", "⽇本", "年", "⻔", "soft­hyphen", "a‍b", "Сlear", "i j"]
+CASES = ["Ｈello", "１２ km", "ﬁnd", "café", "a​b", "no break", "tеxt", "sсhool", "⽇本", "年", "⻔", "soft­hyphen", "a‍b", "Сlear", "i j", "wωrd", "wᴏrd", "wꓳrd", "wⲟrd", "か\u3099", "\u1100\u1161\u11a8"]
 PLAIN = ["hello", "café", "выход", "a β-phase sample", "Δt is small", "你好，世界！（Ａ）"[:6], "“quotes”…", "👩‍🔧 fixes", "❤️ ok", "東京、ソウル", "naïve Übung", "№ 5", "", "«да»"]
 
 
