@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,9 +18,20 @@ def local_session(cores: str = "8", name: str = "twinloom") -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of this machine's only where none is set and the session is local, as in tests."""
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not context._jsc.sc().getCheckpointDir().isEmpty():
+        named = context._jsc.sc().getCheckpointDir().get()
+    if not named and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or os.path.join(tempfile.gettempdir(), "twinloom-checkpoints")
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that spark.checkpoint.dir names; an own folder only where none is set, as in tests."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "twinloom-checkpoints"))
-    return df.checkpoint()
+    """Cuts the lineage: the rows as a table of its own in the shared folder, compressed, so executors may be lost."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/twinloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
