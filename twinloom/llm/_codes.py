@@ -6,8 +6,6 @@ that an n-gram (n <= PAD + 1) never reaches into the next text.
 
 from __future__ import annotations
 
-import os
-import tempfile
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -15,6 +13,8 @@ from functools import lru_cache
 import numpy as np
 from pyspark.sql import functions as F
 
+from twinloom.session import keep  # noqa: F401  (used by the operators as K.keep)
+
 PAD = 3
 SEP = 2
 MULT = np.uint32(2654435761)  # Knuth's multiplicative constant
@@ -135,22 +135,6 @@ def chunks(values: list[str], limit: int = 400_000) -> Iterator[tuple[int, int]]
         yield begin, len(values)
 
 
-def checkpoint_dir(spark) -> str:
-    """The shared folder the cluster names; a folder of one's own only where none is set, as in tests."""
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not own:
-        own = os.path.join(tempfile.gettempdir(), "twinloom-checkpoints")
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def keep(df):
-    """Cuts the lineage with a reliable checkpoint in the shared folder; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint()
-
-
 def split_join(many, few, keys: list[str], counts=None, least: int = 100_000, most: int = 10_000):
     """Inner join on keys that any share of the rows of `many` may have: rows of hot keys are spread over salts.
 
