@@ -48,7 +48,9 @@ REACH = SPAN * BLOCK * 2 * 5 // 8
 BITS_PER_KEY, LEAST_BITS, MOST_BITS = 32, 20, 30
 CHUNK = 1 << 16
 #: Shared stretches count from so many characters on (Latin and the like; wide scripts), at least so much must be covered.
-RUN_LETTERS, RUN_WIDE, COVERED = 8, 3, 0.82
+RUN_LETTERS, RUN_WIDE, COVERED = 8, 3, 0.84
+#: What a copy may hold between its stretches that isn't the case's, as a share of the case; pieces farther apart aren't one copy.
+FOREIGN = 0.35
 
 
 _suspect = lookalikes.re.compile(lookalikes.SUSPECT)
@@ -342,13 +344,16 @@ def coverage(case: str, text: str) -> float:
     """The share of the case that common stretches cover: seeds, extended while they agree, longest at each place.
 
     A seed that continues the last chain (a little further in both texts) is preferred to one elsewhere, and the few
-    characters between two stretches of a chain count where they agree in order.
+    characters between two stretches of a chain count where they agree in order. Stretches count together only if
+    little else stands between the first and the last of them in the text (`FOREIGN`), so clauses that a longer text
+    holds here and there are no copy; the best such part of the text decides.
     """
     run, seeds = _seeds(case)
     if case in text:
         return 1.0
     free = bytearray(b"\x01") * len(case)
-    i, covered, end_case, end_text = 0, 0, 0, 0
+    i, end_case, end_text = 0, 0, 0
+    pieces: list[tuple[int, int, int]] = []  # of the text: from, to, covered of the case
     n, m = len(case), len(text)
     while i <= m - run:
         spots = seeds.get(text[i : i + run])
@@ -369,17 +374,25 @@ def coverage(case: str, text: str) -> float:
         s = best_at
         gap_case, gap_text = s - end_case, i - end_text
         if 0 < gap_case <= 2 * run and 0 <= gap_text <= 2 * run and all(free[end_case:s]):
-            covered += _agreeing(case[end_case:s], text[end_text:i])
+            between = _agreeing(case[end_case:s], text[end_text:i])
+        else:
+            between = 0
         # extend to the left too
         while s and i > end_text and free[s - 1] and case[s - 1] == text[i - 1] and s > end_case:
             s, i, length = s - 1, i - 1, length + 1
             gap_case = 0
-        fresh = sum(free[s : s + length])
-        covered += fresh
+        pieces.append((i, i + length, between + sum(free[s : s + length])))
         free[s : s + length] = bytes(length)
         end_case, end_text = s + length, i + length
         i = end_text
-    return min(1.0, covered / n)
+    best, first, covered = 0, 0, 0
+    for _, end, gain in pieces:
+        covered += gain
+        while end - pieces[first][0] - covered > FOREIGN * n:  # never so for the last piece alone
+            covered -= pieces[first][2]
+            first += 1
+        best = max(best, covered)
+    return min(1.0, best / n)
 
 
 def _agreeing(a: str, b: str) -> int:
