@@ -1,13 +1,15 @@
 """A mixture of sources with given shares of all tokens (problem 6).
 
 Texts are counted in tokens of a public tokenizer; equal texts are one text (of its smallest document's source). The
-mixture is as large as the repeat limits allow with every source at its share: a source with share w and n tokens may
-give at most max_repeats * n, so the total is the least max_repeats * n / w. Each text of a source is used
+mixture has `total` tokens if that is given: a source gives its share of it or, if that is less, all it may (max_repeats
+times its tokens), and the report shows the shares that come of it. Without a total the mixture is as large as the
+repeat limits allow with every source at its share: the least max_repeats * n / w over sources with share w and n
+tokens. Each text of a source is used
 floor(r) times and once more with probability r - floor(r), where r is what the source needs over what it has. Which
 texts are used once more is drawn by the cube method: a random walk in the null space of the balancing constraints
 (number of texts and number of tokens) that ends with nearly all probabilities at 0 or 1 while both totals hold; the
 few texts left over in each block walk on together, level by level, until a source has one block, and its last two
-texts land by the smaller error.
+texts land by the smaller error. Texts whose r is whole never enter a walk.
 
 Sources without documents can't have a share: theirs is reported as 0 and the weights of the others are scaled up.
 Documents without source, of sources without a weight, or with null or blank text are not used.
@@ -28,8 +30,9 @@ from twinloom.llm import _codes as K
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the tokenizer cuts a text before merging: the public pattern of its family (fixed value).
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK = 4096
+LEVELS = 20  # a level leaves at most two of BLOCK texts open, so this many do for BLOCK / 2 to that power
 SEED = 20
 
 
@@ -37,15 +40,9 @@ SEED = 20
 def _encoding(path: str):
     import tiktoken
 
-    try:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
-    except ImportError:
-        pattern = PATTERN
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -120,43 +117,47 @@ def _walk(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source", "block").applyInPandas(run, rows.schema)
 
 
-def plan(counted: list, sources: list) -> dict[str, dict]:
+def plan(counted: list, sources: list, total: float | None = None) -> dict[str, dict]:
     """Per source of the mixture: share, tokens it has and needs, and how often each text is used (r)."""
     has = {r["source"]: (r["n"], r["tokens"]) for r in counted}
     usable = [s for s in sources if s["source"] in has and (s["weight"] or 0) > 0 and (s["max_repeats"] or 0) > 0]
     whole = sum(s["weight"] for s in usable)
     if not usable:
         return {}
-    total = min(s["max_repeats"] * has[s["source"]][1] * whole / s["weight"] for s in usable)
-    return {s["source"]: {"share": s["weight"] / whole, "n": has[s["source"]][0], "r": total * s["weight"] / whole / has[s["source"]][1]} for s in usable}
+    if total is None:
+        total = min(s["max_repeats"] * has[s["source"]][1] * whole / s["weight"] for s in usable)
+    return {s["source"]: {"share": s["weight"] / whole, "n": has[s["source"]][0], "r": min(float(s["max_repeats"]), total * s["weight"] / whole / has[s["source"]][1])} for s in usable}
 
 
-def mixture(docs: DataFrame, sources: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+def mixture(docs: DataFrame, sources: DataFrame, tokenizer: str = TOKENIZER, total: float | None = None) -> DataFrame:
     """doc_id, source, n_tokens, repeats of each chosen text."""
     spark = docs.sparkSession
     named = sources.groupBy("source").agg(F.max("weight").alias("weight"), F.min("max_repeats").alias("max_repeats")).where("source IS NOT NULL")
     used = docs.where(F.col("text").rlike("\\S")).join(named.select("source"), "source", "left_semi")
     texts = K.keep(unique_texts(count_tokens(used, tokenizer)))
     # a row per source of the mixture's table, which is a parameter of the job
-    shares = plan(texts.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect(), named.collect())
+    shares = plan(texts.groupBy("source").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect(), named.collect(), total)
     if not shares:
         return spark.createDataFrame([], "doc_id long, source string, n_tokens long, repeats int")
     times = F.coalesce(*(F.when(F.col("source") == s, F.lit(float(x["r"]))) for s, x in shares.items()))
     texts = texts.withColumn("r", F.round(times, 9)).where("r IS NOT NULL").withColumn("base", F.floor("r").cast("int")).withColumn("p", F.col("r") - F.floor("r")).drop("r")
-    done, rows = None, texts
+
+    def settled(rows: DataFrame) -> DataFrame:
+        return rows.where("p = 0 OR p = 1").select("doc_id", "source", "n_tokens", (F.col("base") + F.col("p").cast("int")).alias("repeats"))
+
+    done, rows = settled(texts), texts.where("p > 0 AND p < 1")
     size = {s: x["n"] for s, x in shares.items()}
-    for level in range(20):
+    for level in range(LEVELS):
         blocks = {s: max(1, -(-n // BLOCK)) for s, n in size.items()}
         n_blocks = F.coalesce(*(F.when(F.col("source") == s, F.lit(b)) for s, b in blocks.items()))
         rows = rows.withColumn("level", F.lit(level)).withColumn("n_blocks", n_blocks).withColumn("block", F.pmod(F.xxhash64("doc_id", F.lit(level)), F.col("n_blocks").cast("long")).cast("int"))
         rows = K.keep(_walk(rows))
-        settled = rows.where("p = 0 OR p = 1").select("doc_id", "source", "n_tokens", (F.col("base") + F.col("p").cast("int")).alias("repeats"))
-        done = settled if done is None else done.unionAll(settled)
+        done = done.unionAll(settled(rows))
         if all(b == 1 for b in blocks.values()):
-            break
+            return done.where("repeats > 0")
         rows = rows.where("p > 0 AND p < 1").select("doc_id", "source", "n_tokens", "base", "p")
         size = {s: 0 for s in size} | {r["source"]: r["n"] for r in rows.groupBy("source").agg(F.count("*").alias("n")).collect()}
-    return done.where("repeats > 0")
+    raise RuntimeError(f"texts are still open after {LEVELS} levels")
 
 
 def shares(chosen: DataFrame, sources: DataFrame) -> DataFrame:
