@@ -1,16 +1,19 @@
 """Documents that repeat passages of held-out items (problem 5).
 
-Rare n-gram seeds join documents to items, then Smith-Waterman alignment scores the copies. An item's text, reduced
-to letters and digits, is cut into blocks; of the n-grams that start in a block, those in few documents are its seeds:
-in at most `RARE` times as many as the rarest that occurs at all, plus `RARE_MORE` (so a copy's own n-grams, which are
-in more documents than those its edits broke, stay seeds). Document frequencies are counted over all documents. A
-document that has a seed of at least `SEED_SHARE` of an item's blocks is aligned with it token by token (words; single characters of scripts without
-spaces): local alignments are taken one after the other until none is long enough, and the item's tokens inside
-them are what the document repeats.
+Rare n-gram seeds join documents to items, then Smith-Waterman alignment scores the copies. An item's text in its
+consistent form, reduced to letters and digits, is cut into blocks; of the n-grams that start in a block, those in few
+documents are its seeds: in at most `RARE` times as many as the rarest that occurs at all, plus `RARE_MORE` (so a copy's
+own n-grams, which are in more documents than those its edits broke, stay seeds). Document frequencies are counted over
+all documents. A document that has a seed of at least `SEED_SHARE` of an item's blocks is aligned with it token by token
+(words; single characters of scripts without spaces): local alignments are taken one after the other until none is long
+enough, and the item's tokens inside them are what the document repeats. An alignment keeps one row of scores and the
+place where each began, so memory follows the longer text alone. Items shorter than an n-gram have one gram, all they
+hold, and a document repeats them if it holds their words in a row.
 
 The items are a stated query set. They go to the executors in blocks of at most `ITEM_BLOCK` characters, so what is
 broadcast has a fixed bound; more items mean more blocks, each against all documents. No document is shuffled.
-Null and blank texts on either side match nothing; items with fewer than `LEAST_TOKENS` tokens are compared as whole.
+Null and blank texts on either side match nothing, as do items without letters and digits; repeated item ids give
+repeated rows.
 """
 
 from __future__ import annotations
@@ -24,12 +27,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinloom.llm import _codes as K
+from twinloom.llm.overlap import plain
 
 N_WIDE, N_LETTERS = 7, 20  # n-gram lengths for texts mostly in wide characters, and for others
-ITEM_BLOCK = 2_000_000
+ITEM_BLOCK = 8_000_000
 SEED_SHARE, COVERED = 0.25, 0.5
 RARE, RARE_MORE = 4, 8
 MATCH, MISS = 2, -1
+APART = 64  # tokens
 LEAST_TOKENS = 6  # of a local alignment, in words; wide characters count half
 BITMAP = 22
 _TOKEN = re.compile(r"[⺀-鿿豈-﫿가-힣]|[^\W_⺀-鿿豈-﫿가-힣]+")
@@ -38,8 +43,8 @@ _TOKEN = re.compile(r"[⺀-鿿豈-﫿가-힣]|[^\W_⺀-鿿豈-﫿가-힣]+")
 class _Grams:
     """Sorted gram hashes with a bitmap before them; lengths are kept apart by the hash itself."""
 
-    def __init__(self, hashes: np.ndarray):
-        self.sorted = np.unique(hashes)
+    def __init__(self, hashes: np.ndarray, lengths: tuple[int, ...]):
+        self.sorted, self.lengths = np.unique(hashes), lengths
         self.bitmap = np.zeros(1 << BITMAP, bool)
         self.bitmap[(self.sorted >> np.uint64(64 - BITMAP)).astype(np.int64)] = True
 
@@ -54,14 +59,15 @@ class _Grams:
 
 
 def _length_of(codes: np.ndarray) -> int:
-    return N_WIDE if (codes >= 0x2E80).mean() > 0.4 else N_LETTERS
+    """Of the n-grams of an item; one shorter than that is its own n-gram."""
+    return min(len(codes), N_WIDE if (codes >= 0x2E80).mean() > 0.4 else N_LETTERS)
 
 
 def _hits(texts: list[str], grams: _Grams) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, gram number) of the known grams of either length in each text."""
+    """Distinct (text, gram number) of the known grams of any length in each text (in its plain form)."""
     codes, starts, _ = K.compact(*K.encode(texts))
     found = []
-    for n in (N_WIDE, N_LETTERS):
+    for n in grams.lengths:
         if len(codes) < n:
             continue
         at, no = grams.find(K.rolling(codes, n))
@@ -73,31 +79,35 @@ def _hits(texts: list[str], grams: _Grams) -> tuple[np.ndarray, np.ndarray]:
 
 
 def tokens(text: str) -> list[str]:
-    return _TOKEN.findall(text.lower())
+    """Of a plain text."""
+    return _TOKEN.findall(text)
+
+
+def holds(item: list[str], doc: list[str]) -> bool:
+    """Whether the tokens of the item stand in the document in a row."""
+    return "\0".join(["", *item, ""]) in "\0".join(["", *doc, ""])
 
 
 def local_alignment(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int, int, int]:
-    """Smith-Waterman with linear gaps: score and the aligned spans (a from, to, b from, to). Rows are vectors over b."""
+    """Smith-Waterman with linear gaps: score and the aligned spans (a from, to, b from, to).
+
+    Rows are vectors over b. A cell holds its score above the place where its alignment began (i * (m + 1) + j), so a
+    greater cell is a better one, and one row is all that is kept.
+    """
     n, m = len(a), len(b)
-    steps = np.arange(m + 1, dtype=np.int32)
-    rows = np.zeros((n + 1, m + 1), np.int32)
+    one = np.int64(1) << np.int64(40)
+    steps = np.arange(m + 1, dtype=np.int64)
+    row, best, best_at = steps.copy(), np.int64(0), (0, 0)
     for i in range(1, n + 1):
-        above = rows[i - 1]
-        row = np.maximum(above + MISS, 0)
-        np.maximum(row[1:], above[:-1] + np.where(b == a[i - 1], MATCH, MISS), out=row[1:])
-        row = np.maximum.accumulate(row - MISS * steps) + MISS * steps
-        rows[i] = np.maximum(row, 0)
-    i, j = np.unravel_index(rows.argmax(), rows.shape)
-    score, end_a, end_b = int(rows[i, j]), int(i), int(j)
-    while rows[i, j] > 0:
-        here = rows[i, j]
-        if i and j and here == rows[i - 1, j - 1] + (MATCH if a[i - 1] == b[j - 1] else MISS):
-            i, j = i - 1, j - 1
-        elif i and here == rows[i - 1, j] + MISS:
-            i -= 1
-        else:
-            j -= 1
-    return score, int(i), end_a, int(j), end_b
+        here = row + MISS * one
+        np.maximum(here[1:], row[:-1] + np.where(b == a[i - 1], MATCH, MISS) * one, out=here[1:])
+        here = np.maximum.accumulate(here - MISS * steps * one) + MISS * steps * one
+        row = np.where(here >= one, here, i * (m + 1) + steps)
+        j = int(row.argmax())
+        if row[j] >> 40 > best >> 40:
+            best, best_at = row[j], (i, j)
+    begin = divmod(int(best & (one - 1)), m + 1) if best else best_at
+    return int(best >> 40), begin[0], best_at[0], begin[1], best_at[1]
 
 
 def covered_share(item: list[str], doc: list[str]) -> float:
@@ -120,7 +130,12 @@ def covered_share(item: list[str], doc: list[str]) -> float:
     edges = np.zeros(len(b) + 1, np.int32)
     np.add.at(edges, np.maximum(hit - reach, 0), 1)
     np.add.at(edges, np.minimum(hit + run + reach, len(b)), -1)
-    b = b[np.cumsum(edges[:-1]) > 0]
+    near = np.flatnonzero(np.cumsum(edges[:-1]) > 0)
+    # what was left out between two stretches keeps them apart: a gap of its length, or one no alignment is worth
+    gap = np.minimum(np.diff(near, prepend=near[0]) - 1, APART).clip(min=0)
+    spread = np.full(len(near) + int(gap.sum()), -1, b.dtype)
+    spread[np.arange(len(near)) + np.cumsum(gap)] = b[near]
+    b = spread
     least = MATCH * (LEAST_TOKENS * (2 if wide else 1))
     least = min(least, MATCH * max(1, len(a) - 1))
     free = np.ones(len(a), bool)
@@ -139,29 +154,26 @@ def covered_share(item: list[str], doc: list[str]) -> float:
 
 def _block(spark: SparkSession, rows: list, docs: DataFrame) -> DataFrame | None:
     """doc_id, item_id, share of one block of items."""
-    items = [(r["item_id"], r["text"]) for r in rows if r["text"] and tokens(r["text"])]
+    items = [(r["item_id"], p) for r in rows if r["text"] and len(K.compact(*K.encode([p := plain(r["text"])]))[0])]
     if not items:
         return None
     codes, starts, _ = K.compact(*K.encode([t for _, t in items]))
     places = []  # item, block, hash
     for i in range(len(items)):
         own = codes[starts[i] : starts[i + 1]]
-        n = _length_of(own) if len(own) else N_LETTERS
-        if len(own) < n:
-            continue
+        n = _length_of(own)
         h = K.rolling(own, n)
-        places.append(pd.DataFrame({"item": i, "block": np.arange(len(h)) // n, "hash": h}))
-    if not places:
-        return None
+        places.append(pd.DataFrame({"item": i, "block": np.arange(len(h)) // n, "hash": h, "n": n}))
     places = pd.concat(places, ignore_index=True)
-    grams = _Grams(places["hash"].to_numpy())
+    lengths = tuple(sorted(set(places["n"].tolist())))  # at most N_LETTERS
+    grams = _Grams(places["hash"].to_numpy(), lengths)
     shared = spark.sparkContext.broadcast(grams)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g = shared.value
         total = np.zeros(len(g.sorted), np.int64)
         for pdf in batches:
-            values = pdf["text"].tolist()
+            values = [plain(t) for t in pdf["text"]]
             for low, high in K.chunks(values):
                 total += np.bincount(_hits(values[low:high], g)[1], minlength=len(total))
         some = np.flatnonzero(total)
@@ -171,22 +183,23 @@ def _block(spark: SparkSession, rows: list, docs: DataFrame) -> DataFrame | None
     df = docs.select("text").mapInPandas(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toPandas()
     frequency = np.zeros(len(grams.sorted), np.int64)
     frequency[df["gram"].to_numpy(np.int64)] = df["n"].to_numpy(np.int64)
+    whole = places.groupby("item").size().reindex(range(len(items))).to_numpy() == 1  # one gram: an item that is found as a whole
     places["df"] = frequency[np.searchsorted(grams.sorted, places["hash"].to_numpy())]
     blocks = places.groupby("item")["block"].nunique().reindex(range(len(items)), fill_value=1).to_numpy()
     places = places[places["df"] > 0]  # what no document has can't find one
     seeds = places[places["df"] <= places.groupby(["item", "block"])["df"].transform("min") * RARE + RARE_MORE]
-    chosen = _Grams(seeds["hash"].to_numpy())
+    chosen = _Grams(seeds["hash"].to_numpy(), lengths)
     number = np.searchsorted(chosen.sorted, seeds["hash"].to_numpy())
     order = np.argsort(number, kind="stable")
     offsets = np.searchsorted(number[order], np.arange(len(chosen.sorted) + 1))
     width = int(blocks.max()) + 1
     spots = (seeds["item"].to_numpy() * width + seeds["block"].to_numpy())[order]
-    packed = spark.sparkContext.broadcast((chosen, offsets, spots, width, blocks, [(k, tokens(t)) for k, t in items]))
+    packed = spark.sparkContext.broadcast((chosen, offsets, spots, width, blocks, [(k, tokens(t), bool(w)) for (k, t), w in zip(items, whole, strict=True)]))
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         g, offs, spots, width, n_blocks, known = packed.value
         for pdf in batches:
-            values, ids = pdf["text"].tolist(), pdf["doc_id"].to_numpy()
+            values, ids = [plain(t) for t in pdf["text"]], pdf["doc_id"].to_numpy()
             for low, high in K.chunks(values):
                 text, gram = _hits(values[low:high], g)
                 if not len(text):
@@ -203,7 +216,7 @@ def _block(spark: SparkSession, rows: list, docs: DataFrame) -> DataFrame | None
                     t, i = divmod(int(p), len(known))
                     if t not in cut:
                         cut = {t: tokens(values[low + t])}
-                    share = covered_share(known[i][1], cut[t])
+                    share = float(holds(known[i][1], cut[t])) if known[i][2] else covered_share(known[i][1], cut[t])
                     out.append((int(ids[low + t]), known[i][0], share))
                 if out:
                     yield pd.DataFrame(out, columns=["doc_id", "item_id", "share"])
