@@ -13,8 +13,8 @@ SAMPLES = {
 
 @pytest.fixture(scope="module")
 def model():
-    texts, labels = zip(*[(s, k) for k, v in SAMPLES.items() for s in v for _ in range(5)], strict=True)
-    return L.fit(list(texts), list(labels))
+    texts, labels = zip(*[(s, k) for k, v in SAMPLES.items() for s in v for _ in range(40)], strict=True)
+    return L.fit(list(texts), list(labels), epochs=10)
 
 
 def test_segments_of_a_mixed_text(spark, model):
@@ -49,11 +49,31 @@ def test_wrong_labels_are_no_examples():
     labels = [k for k, v in SAMPLES.items() for _ in v for _ in range(8)]
     labels[0] = "fr"
     m = L.fit(texts, labels)
-    _, _, _, _, prob, _ = L.classify([SAMPLES["en"][0]], m)
+    _, _, _, prob = L.classify([SAMPLES["en"][0]], m)
     assert m.languages[int(prob[0].argmax())] == "en"
     assert (m.table[:, :-1] != 0).mean() < 0.2
 
 
+def test_label_and_text_bear_on_a_sentence_but_less_than_its_own_words():
+    scores = np.array([[0.0, 2.0], [6.0, 0.0], [0.0, 9.0]])
+    letters, owner = np.full(3, 40.0), np.array([0, 1, 2])
+    assert L._weighed(scores, letters, owner, 3).argmax(1).tolist() == [1, 0, 1]
+    assert L._weighed(scores, letters, owner, 3, np.array([0, -1, 0])).argmax(1).tolist() == [0, 0, 1]
+
+
+def test_confidence_is_calibrated(model):
+    texts = [s for v in SAMPLES.values() for s in v]
+    labels = [k for k, v in SAMPLES.items() for _ in v]
+    assert L.calibration(texts, labels, model) < 0.1
+
+
+def test_examples_come_from_all_of_a_text():
+    text = " ".join(f"the market seller number {'abcdefghijklmnopqrstuvwxyz'[i]} opened the old door in the morning." for i in range(26))
+    drawn = [L._examples([text], [0], ("en",), np.random.default_rng(s))[0] for s in range(8)]
+    assert all(len(rows) == L.SENTENCES for rows in drawn)
+    assert len({tuple(r[0].tolist()) for rows in drawn for r in rows}) > 15
+
+
 def test_no_labels():
     m = L.fit([], [])
     assert m.languages == ("und",) and np.all(m.table == 0)
