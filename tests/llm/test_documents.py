@@ -35,6 +35,34 @@ def test_leaks_in_pieces_and_edited(spark, monkeypatch):
     assert leakage.aligned(d, it.limit(0)).count() == 0 and leakage.aligned(d.limit(0), it).count() == 0
 
 
+def test_short_items_are_found_as_a_whole(spark):
+    items = [(1, "老桥塌了呢"), (2, "Who closed the gate?"), (3, "ok"), (4, "?!"), (5, "九个字的句子在这里面")]
+    docs = [(1, "他说老桥，塌了呢。"), (2, "Then: “WHO ｃlosed the gate” she asked."), (3, "老桥没有塌"), (4, "who closed the door"), (5, "前面九个字的句子在这里后面"), (6, None), (7, "?!")]
+    d, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.aligned(d, it).where(F.col("share") >= leakage.COVERED).collect()}
+    assert got == {(1, 1), (2, 2), (5, 5)}
+
+
+def test_long_alignments_need_one_row():
+    import tracemalloc
+
+    rng = np.random.default_rng(5)
+    a = rng.integers(0, 5000, 3000)
+    b = np.concatenate([rng.integers(5000, 9000, 20000), a, rng.integers(5000, 9000, 20000)])
+    tracemalloc.start()
+    assert leakage.local_alignment(a, b) == (6000, 0, 3000, 20000, 23000)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
+
+
+def test_distant_pieces_stay_apart():
+    words = [f"w{i}" for i in range(40)]
+    other = [f"x{i}" for i in range(300)]
+    # two pieces of eight words, all in between is missing: what lies between them isn't covered
+    share = leakage.covered_share(words, words[:8] + other + words[32:])
+    assert share == pytest.approx(sum(map(len, words[:8] + words[32:])) / sum(map(len, words)))
+
+
 def test_local_alignment_is_smith_waterman():
     rng = np.random.default_rng(2)
     for _ in range(40):
@@ -80,6 +108,24 @@ def test_mixture_meets_its_shares(spark, monkeypatch):
     assert mixture.mixture(d.limit(0), s).count() == 0 and mixture.mixture(d, s.limit(0)).count() == 0
 
 
+def test_mixture_of_a_given_size(spark):
+    docs = [(i, f"text number {i} of its source", "a" if i % 2 else "b") for i in range(200)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    s = spark.createDataFrame([("a", 1.0, 4, None), ("b", 1.0, 1, None)], "source string, weight double, max_repeats int, domain string")
+    whole = mixture.count_tokens(d).groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()
+    n = {r["source"]: r["n"] for r in whole}
+    got = {r["source"]: r for r in mixture.shares(mixture.mixture(d, s, total=sum(n.values()) / 2), s).collect()}
+    assert all(got[k]["actual_share"] == pytest.approx(0.5, abs=0.01) for k in "ab") and got["a"]["tokens"] == pytest.approx(sum(n.values()) / 4, rel=0.02)
+    # b can't give more than it has once: the report says what came of it
+    got = {r["source"]: r for r in mixture.shares(mixture.mixture(d, s, total=4 * sum(n.values())), s).collect()}
+    assert got["b"]["tokens"] == n["b"] and got["a"]["most_repeats"] == 4 and got["a"]["actual_share"] == pytest.approx(0.8, abs=0.02)
+
+
+def test_the_tokenizers_pattern():
+    tokenizers = pytest.importorskip("public_tokenizers")
+    assert tokenizers.PATTERN == mixture.PATTERN
+
+
 def test_isotonic_is_the_least_squares_monotone_fit():
     x, y = np.array([1.0, 2, 3, 4, 5]), np.array([1.0, 3, 2, 2, 5])
     knots, values = reading.isotonic(x, y)
@@ -99,7 +145,7 @@ def test_levels_rank_held_out_documents(spark):
     lb = spark.createDataFrame(labels, "doc_id long, rater string, reading_level int")
     model = L.fit([EASY[0] + " " + EASY[1], "猫看见一只大狗在桌子上面睡觉"] * 10, ["en", "zh"] * 10)
     got = {r["doc_id"]: r for r in reading.levels(d, lb, model).collect()}
-    assert all((got[i]["hard_share"] < 0.5) == bool(i % 2) for i in range(20, 40)) and not {50, 51, 52} & set(got)
+    assert all((got[i]["level"] < reading.HARD) == bool(i % 2) for i in range(20, 40)) and not {50, 51, 52} & set(got)
     assert got[20]["level"] > got[21]["level"]
     assert all(r["level"] is None for r in reading.levels(d, lb.limit(0), model).collect())
     assert reading.levels(d.limit(0), lb, model).count() == 0
