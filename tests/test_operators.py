@@ -195,7 +195,7 @@ def test_model_hooks(spark):
 
         return ask
 
-    assert {(r["reviewed"], r["review_status"]) for r in models.review(rows, broken, "s", "d").collect()} == {("x", "fallback"), ("y", "fallback")}
+    assert {(r["reviewed"], r["review_status"]) for r in models.review(rows, broken, "s", "d").collect()} == {("x", "unavailable"), ("y", "unavailable")}
 
 
 def test_stream_accepts_each_pair_once(spark, tmp_path):
@@ -213,6 +213,182 @@ def test_bootstrap_query_draws_the_default_number(monkeypatch):
 
     given = []
     monkeypatch.setattr(queries, "_difference", lambda *_: None)
-    monkeypatch.setattr(queries.evaluation, "bootstrap_poisson", lambda *a, **k: given.append((a, k)))
+    result = type("Result", (), {"columns": [], "select": lambda self, *_: self})()
+    monkeypatch.setattr(queries.evaluation, "bootstrap_poisson", lambda *a, **k: given.append((a, k)) or result)
     queries.bootstrap(None, "")
     assert given == [((None,), {})]
+
+
+def _context_rules(text, table):
+    """Rule after rule on the text as rewritten so far."""
+    import re
+
+    out, required, forbidden, aliases = text, [], [], {}
+    holds = lambda v: re.search(rf"(?<![A-Za-z0-9_]){re.escape(v)}(?![A-Za-z0-9_])", text, re.I) is not None
+    for r in table:
+        word = re.compile(rf"(?<!\w){re.escape(r['source'])}(?!\w)", re.I)
+        if not word.search(out) or r.get("when_any") and not any(map(holds, r["when_any"])) or any(map(holds, r.get("unless_any", []))):
+            continue
+        out = word.sub(lambda m: r["rewrite"], out)  # noqa: B023
+        required.append(r["target"])
+        forbidden += r.get("forbidden_output_any", [])
+        aliases |= {a: r["target"] for a in r.get("aliases", [])}
+    return out, list(dict.fromkeys(required)), list(dict.fromkeys(forbidden)), aliases
+
+
+def test_many_context_rules_are_planned_and_fold_in_order(spark):
+    import time
+
+    from twinloom.operators import rules
+
+    rng = random.Random(4)
+    names = [f"term{i}" for i in range(30)]
+    table = [{"source": n, "rewrite": f"{rng.choice(names)} $1 of {n}", "target": f"t{i}", "aliases": [f"a{i % 7}"], "when_any": [rng.choice(names)] if i % 3 == 0 else [], "unless_any": [rng.choice(names)] if i % 4 == 0 else [], "forbidden_output_any": [f"f{i % 5}"]} for i, n in enumerate(names)]
+    texts = [" ".join(rng.choice(names) for _ in range(6)) for _ in range(20)] + ["", None, "no term of these, term3x"]
+    frame = spark.createDataFrame([(t,) for t in texts], "t string").select("t", rules.apply_context_rules(F.col("t"), table).alias("r"))
+    began = time.monotonic()
+    frame._jdf.queryExecution().executedPlan()
+    assert time.monotonic() - began < 5
+    for row in frame.collect():
+        text, required, forbidden, aliases = _context_rules(row["t"] or "", table)
+        assert (row["r"]["text"], row["r"]["required"], row["r"]["forbidden"]) == (text, required, forbidden)
+        assert dict(a.split("\t") for a in row["r"]["aliases"]) == aliases
+    assert rules.apply_context_rules(F.col("t"), []) is not None
+
+
+def test_the_last_target_of_an_alias_wins(spark):
+    from twinloom.operators import rules
+
+    frame = spark.createDataFrame([("old bridge", ["old bridge\tfirst", "old\tx", "old bridge\tlast"])], "t string, a array<string>")
+    assert frame.select(rules.restore_glossary(F.col("t"), F.col("a")).alias("r")).first()["r"] == "last"
+
+
+@pytest.mark.parametrize("settled", [100_000, 3])
+def test_nth_least_and_what_rests_on_it(spark, monkeypatch, settled):
+    monkeypatch.setattr(corpus, "SETTLED", settled)
+    rng = random.Random(6)
+    values = [rng.choice([0, 5, 5, 10**15, rng.randrange(10**17)]) for _ in range(200)]
+    frame = spark.createDataFrame([(i, v) for i, v in enumerate(values)] + [(999, None)], "i long, v long")
+    for n in (1, 2, 50, 199, 200):
+        assert corpus.nth_least(frame, "v", n) == sorted(values)[n - 1]
+    assert corpus.nth_least(frame, "v", 201) is None and corpus.nth_least(frame, "v", 0) is None and corpus.nth_least(frame.limit(0), "v", 1) is None
+    rows = frame.withColumn("reason", F.when(F.col("i") % 3 == 0, "x"))
+    seen = corpus.until_accepted(rows, "i", 20)
+    assert sorted(r["i"] for r in seen.collect()) == list(range(30))
+    assert corpus.until_accepted(rows, "i", 10**6).count() == 201
+    with pytest.raises(ValueError):
+        corpus.take_until(rows, "i", 10**6)
+    parts = corpus.split(frame.withColumn("k", F.col("i").cast("string")), F.col("k"), 30, 120, 17).groupBy("part").count().collect()
+    assert {r["part"]: r["count"] for r in parts} == {"validation": 30, "train": 90}
+    plan = corpus.split(frame.withColumn("k", F.col("i").cast("string")), F.col("k"), 30, 120, 17)._jdf.queryExecution().toString()
+    assert "TakeOrdered" not in plan and "GlobalLimit" not in plan
+
+
+def test_eval_cases_are_validated(spark, tmp_path):
+    import json
+
+    case = {"id": "a", "direction": "zh-en", "source": "一", "reference": "one"}
+
+    def load(*cases, **how):
+        (tmp_path / "c.jsonl").write_text("\n".join(json.dumps(c) for c in cases), encoding="utf-8")
+        return evaluation.load_cases(spark, str(tmp_path / "c.jsonl"), **how)
+
+    assert load(case, case | {"id": "b", "split": "dev"}, split="dev").first()["id"] == "b"
+    for bad in ([case, case], [case | {"source": ""}], [case | {"reference": None}], [{k: v for k, v in case.items() if k != "direction"}]):
+        with pytest.raises(ValueError):
+            load(*bad)
+    with pytest.raises(ValueError):
+        load(case, direction="en-zh")
+
+
+def test_gates(spark):
+    losses = spark.createDataFrame([(1.0, 1.05), (1.0, 1.2), (None, 1.0)], "base_loss double, candidate_loss double")
+    assert [r["loss_gate_passed"] for r in evaluation.loss_gate(losses, 0.1).collect()] == [True, False, False]
+    one = spark.createDataFrame([(0, 50.0, None, 1.0, 1.0, 1.0, 1.0)], "critical_errors long, chrf double, simple_chrf double, term_accuracy double, required_accuracy double, number_accuracy double, preserve_accuracy double")
+    more = one.withColumn("chrf", F.lit(50.0000001))
+    sure = spark.createDataFrame([(0.5, 0.1, 0.9)], "mean double, ci95_low double, ci95_high double")
+    unsure = sure.withColumn("ci95_low", F.lit(-0.1))
+    assert evaluation.gate(more, one, sure).first()["accepted"] is True  # no rounding before the comparison
+    assert evaluation.gate(more, one, sure, comet=sure).first()["accepted"] is True
+    r = evaluation.gate(more, one, sure, comet=unsure).first()
+    assert r["accepted"] is False and r["checks"]["comet_improved"] and not r["checks"]["comet_statistically_significant"]
+    a, b = (spark.createDataFrame([(x,) for x in ids], "id string") for ids in ("xy", "yz"))
+    assert sorted(map(tuple, evaluation.unpaired(a, b).collect())) == [("x", "candidate"), ("z", "baseline")]
+
+
+def test_rule_files(spark, tmp_path):
+    import json
+
+    def file(content):
+        (tmp_path / "r.json").write_text(json.dumps(content, ensure_ascii=False, indent=1), encoding="utf-8")
+        return str(tmp_path / "r.json")
+
+    hashes, patterns = readers.blacklist(spark, file({"version": 1, "pair_hashes": ["h"], "exact_pairs": [{"source": " A ", "target": "b"}, {"source": "x"}], "source_patterns": ["p.*", ""]}))
+    assert {r[0] for r in hashes.collect()} == {"h", hashlib.sha256(b"a\0b").hexdigest()} and patterns == ("p.*",)
+    assert readers.glossary(spark, file({"a": "b", "c": {"target": "d", "aliases": ["e", ""]}, "f": ""})) == [{"source": "a", "target": "b", "aliases": []}, {"source": "c", "target": "d", "aliases": ["e"]}]
+    rules = readers.context_rules(spark, file([{"source": " s ", "target": "t", "when_any": ["w"]}]))
+    assert rules[0]["rewrite"] == "s" and rules[0]["when_any"] == ["w"] and rules[0]["aliases"] == []
+    for bad, load in (([], readers.glossary), ({"a": 3}, readers.glossary), ({}, readers.context_rules), ([{"source": "s"}], readers.context_rules)):
+        with pytest.raises(ValueError):
+            load(spark, file(bad))
+    sources, caps = readers.mixture_sources(spark, file({"sources": [{"path": "p", "weight": 2}], "max_domain_fractions": {"x": 0.5}}))
+    assert sources == [{"path": "p", "weight": 2.0, "domain": "general"}] and caps == {"x": 0.5}
+    with pytest.raises(FileExistsError):
+        readers.refuse_overwriting("a.md", str(tmp_path / "r.json"))
+    with pytest.raises(ValueError):
+        readers.refuse_overwriting("a.md", "./a.md")
+
+
+def test_markdown_is_translated_in_its_places(spark):
+    seen = []
+    text = "# 标题 `code` [链接](http://x)\r\n- 第一 项\r\n```\n代码\n```\nplain line\n- 第一 项\n\n> 引用"
+    docs = spark.createDataFrame([(1, text), (2, "no chinese\n"), (3, "标题")], "doc_id long, text string")
+    cache = spark.createDataFrame([(hashlib.sha256("引用".encode()).hexdigest(), "cached")], "key string, translation string")
+    make = lambda: lambda xs: [f"T({x})" for x in xs]
+    got = {r["doc_id"]: r["text"] for r in documents.translate_markdown(docs, "doc_id", "zh-en", make, cache).collect()}
+    assert got[1] == "# T(标题) `code` [链接](http://x)\r\n- T(第一 项)\r\n```\n代码\n```\nplain line\n- T(第一 项)\n\n> cached"
+    assert got[2] == "no chinese\n" and got[3] == "T(标题)" and not seen
+
+
+def test_docx_is_translated(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(_docx(["第一段", "Second", "第一段"]))
+    (tmp_path / "b.docx").write_bytes(_docx(["only english"]))
+    done = readers.translate_docx(spark, str(tmp_path), lambda: lambda xs: [f"T{len(x)}" for x in xs], "zh-en").collect()
+    assert sorted(readers.docx_paragraphs(bytes(r["content"])) for r in done) == [["T3", "Second", "T3"], ["only english"]]
+
+
+def test_reviewer_answers(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "s string, d string").coalesce(1)
+    answers = {"a": "<translation> good </translation>", "b": "```text\n```", "c": "```python\nok"}
+    got = {r["s"]: (r["reviewed"], r["review_status"]) for r in models.review(rows, lambda: lambda s, d: answers[s], "s", "d").collect()}
+    assert got == {"a": ("good", "reviewed"), "b": ("y", "empty"), "c": ("python\nok", "reviewed")}
+    slow = models.review(rows, lambda: lambda s, d: s, "s", "d", seconds=-1).collect()
+    assert {(r["reviewed"], r["review_status"]) for r in slow} == {("x", "timeout"), ("y", "timeout"), ("z", "timeout")}
+
+
+def test_document_context(spark):
+    docs = spark.createDataFrame([(1, "John Smith met GPU and API near the Old Bridge"), (2, "约翰 John Smith 用GPU看石桥")], "doc_id long, text string")
+    glossary = [{"source": "old bridge", "target": "老桥"}, {"source": "石桥", "target": "stone bridge"}, {"source": "absent", "target": "x"}]
+    ruled = [{"source": "bridge", "target": "桥", "when_any": ["GPU"]}, {"source": "met", "target": "遇", "unless_any": ["API"]}]
+    r = {x["doc_id"]: x for x in documents.context_of(docs, "doc_id", glossary=glossary, context_rules=ruled).collect()}
+    assert r[1]["entities"] == ["John Smith", "Old Bridge"] and [tuple(g) for g in r[1]["glossary"]] == [("old bridge", "老桥"), ("bridge", "桥")]
+    assert r[2]["entities"] == [] and [tuple(g) for g in r[2]["glossary"]] == [("石桥", "stone bridge")]
+    import json
+
+    payload = {"entities": [], "acronyms": ["GPU"], "glossary": [["石桥", "stone bridge"]], "version": 2}
+    assert r[2]["fingerprint"] == hashlib.sha256(json.dumps(payload, ensure_ascii=False, sort_keys=True).encode()).hexdigest()
+
+
+def test_numbers_run_on_across_ranges(spark):
+    rows = spark.createDataFrame([("k" if i % 5 else "m", i) for i in range(300)], "g string, i long").repartition(7)
+    got = documents.numbered(rows, "g", "i").collect()
+    for g in "km":
+        assert [r["number"] for r in sorted((r for r in got if r["g"] == g), key=lambda r: r["i"])] == list(range(240 if g == "k" else 60))
+
+
+def test_tables_without_rows(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string")
+    assert documents.translate_markdown(docs, "doc_id", "zh-en", lambda: list).count() == 0
+    assert documents.context_of(docs, "doc_id").count() == 0
+    assert documents.micro_batches(docs, 4, "text", "doc_id", F.length("text")).count() == 0
+    assert corpus.split(docs, F.col("text"), 2, 5, 1).count() == 0

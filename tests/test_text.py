@@ -41,7 +41,8 @@ def test_normalise_is_html_and_compatibility(spark):
 def test_direction(spark):
     for text, want in (("", "zh-en"), ("中文abcd", "zh-en"), ("中a bcd", "en-zh"), ("plain", "en-zh")):
         assert one(spark, T.direction_of(F.col("t")), t=text) == want
-    assert one(spark, T.normal_direction(F.col("t")), t=" ZH2EN ") == "zh-en"
+    assert one(spark, T.normal_direction(F.col("t")), t=" ZH_to_EN ") == "zh-en"
+    assert one(spark, T.normal_direction(F.col("t")), t="英译中") == "en-zh"
     with pytest.raises(Exception, match="unknown direction"):
         one(spark, T.normal_direction(F.col("t")), t="fr-de")
 
@@ -148,3 +149,57 @@ def test_split_keeps_the_text(spark):
     parts = one(spark, documents.split_for_model(F.col("t"), 20, "zh-en"), t=text)
     assert "".join(parts) == text and max(map(len, parts)) <= 20
     assert one(spark, documents.split_for_model(F.col("t"), 20, "zh-en"), t="  ") == []
+
+
+def _chrf(h, r, order=6, words=2, beta=2.0):
+    """chrF++ by its definition."""
+    import string
+    from collections import Counter
+
+    def split(t):
+        out = []
+        for w in t.split():
+            if len(w) > 1 and w[-1] in string.punctuation:
+                out += [w[:-1], w[-1]]
+            elif len(w) > 1 and w[0] in string.punctuation:
+                out += [w[0], w[1:]]
+            else:
+                out.append(w)
+        return out
+
+    p, q = [], []
+    for make, most in ((lambda t: list("".join(t.split())), order), (split, words)):
+        a, b = make(h), make(r)
+        for n in range(1, most + 1):
+            x, y = (Counter(tuple(s[i : i + n]) for i in range(len(s) - n + 1)) for s in (a, b))
+            if x and y:
+                c = sum((x & y).values())
+                p.append(c / sum(x.values()))
+                q.append(c / sum(y.values()))
+    if not p or not sum(p) + sum(q):
+        return 0.0
+    p, q = sum(p) / len(p), sum(q) / len(q)
+    return 100 * 5 * p * q / (4 * p + q)
+
+
+@pytest.mark.parametrize("h, r", [("The cat sat.", "The cat sat."), ("a cat, sat", "the cat sat on (it)"), ("", "x"), (None, "x"), ("中文测试", "中文的测试"), ("x", "y")])
+def test_chrf_plus(spark, h, r):
+    assert one(spark, A.chrf_plus(F.col("h"), F.col("r")), h=h, r=r) == pytest.approx(_chrf(h or "", r))
+
+
+def test_peel_and_should_translate(spark):
+    r = one(spark, T.peel(F.col("t")), t=" \n a b\t")
+    assert (r["leading"], r["core"], r["trailing"]) == (" \n ", "a b", "\t")
+    r = one(spark, T.peel(F.col("t")), t="  ")
+    assert (r["leading"], r["core"], r["trailing"]) == ("  ", "", "")
+    assert one(spark, T.should_translate(F.col("t"), "zh-en"), t="a 中") and not one(spark, T.should_translate(F.col("t"), "zh-en"), t="abc")
+
+
+def test_tagged_translation_keeps_other_fences(spark):
+    assert one(spark, T.tagged_translation(F.col("t")), t="```MARKDOWN\n# x\n```") == "# x"
+    assert one(spark, T.tagged_translation(F.col("t")), t="```sql\nselect 1\n```") == "sql\nselect 1"
+
+
+def test_blank_context_values_match_nothing(spark):
+    assert one(spark, T.context_matches(F.col("t"), " "), t="a b") is False
+    assert one(spark, T.context_matches(F.col("t"), "石桥"), t="老石桥") is True

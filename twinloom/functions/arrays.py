@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from twinloom.functions import text as T
 
 
+PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"  # of ASCII
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value evaluated once; a lambda that names an outer expression would evaluate it per element."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -69,6 +72,48 @@ def character_fscore(hypothesis: Column, reference: Column, order: int = 6) -> C
     return F.pandas_udf(_fscores(order), "double")(F.lower(T.squeeze(hypothesis)), F.lower(T.squeeze(reference)))
 
 
+def _pieces(words: list[str]) -> list[str]:
+    """Words with a punctuation mark at their end or start as pieces of its own."""
+    out: list[str] = []
+    for w in words:
+        if len(w) > 1 and w[-1] in PUNCTUATION:
+            out += [w[:-1], w[-1]]
+        elif len(w) > 1 and w[0] in PUNCTUATION:
+            out += [w[0], w[1:]]
+        else:
+            out.append(w)
+    return out
+
+
+def _chrf(order: int, word_order: int, beta: float):
+    def run(hypotheses: pd.Series, references: pd.Series) -> pd.Series:
+        out = np.zeros(len(hypotheses))
+        for row, (h, r) in enumerate(zip(hypotheses, references, strict=True)):
+            sides = [("".join(x.split()), _pieces(x.split())) for x in (h, r)]
+            precision = recall = 0.0
+            effective = 0
+            for k, n in [(0, n) for n in range(1, order + 1)] + [(1, n) for n in range(1, word_order + 1)]:
+                a, b = (Counter(tuple(s[k][i : i + n]) for i in range(len(s[k]) - n + 1)) for s in sides)
+                n_a, n_b = a.total(), b.total()
+                if n_a and n_b:
+                    common = (a & b).total()
+                    precision, recall, effective = precision + common / n_a, recall + common / n_b, effective + 1
+            if effective and precision + recall:
+                p, q, weight = precision / effective, recall / effective, beta * beta
+                out[row] = 100 * (1 + weight) * p * q / (weight * p + q)
+        return pd.Series(out)
+
+    return run
+
+
+def chrf_plus(hypothesis: Column, reference: Column, order: int = 6, word_order: int = 2, beta: float = 2.0) -> Column:
+    """chrF++: mean precision and recall of character n-grams (without white space) and word n-grams, as F-beta times 100.
+
+    Orders that either side is too short for don't count. Nulls are empty texts; an empty side scores 0.
+    """
+    return F.pandas_udf(_chrf(order, word_order, beta), "double")(T.text(hypothesis), T.text(reference))
+
+
 def ngram_f1(hypothesis: Column, reference: Column, n: int) -> Column:
     def of(sides: Column) -> Column:
         a, b = sides[0], sides[1]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from twinloom.functions import text as T
+
 
 def predict(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]], text: str, output: str, batch: int = 64) -> DataFrame:
     """Adds `output`: what the predictor that `make` loads (once per task) says of each text, in micro-batches."""
@@ -23,9 +26,12 @@ def predict(rows: DataFrame, make: Callable[[], Callable[[list[str]], list[str]]
     return rows.mapInPandas(run, schema)
 
 
-def review(rows: DataFrame, make: Callable[[], Callable[[str, str], str]], source: str, draft: str) -> DataFrame:
-    """Adds `reviewed` and `review_status`. A reviewer that fails once is not asked again in its task; the draft stands."""
-    schema = t.StructType([*rows.schema.fields, t.StructField("reviewed", t.StringType()), t.StructField("review_status", t.StringType())])
+def review(rows: DataFrame, make: Callable[[], Callable[[str, str], str]], source: str, draft: str, seconds: float = 180.0) -> DataFrame:
+    """Adds `reviewed` and `review_status`: reviewed, or why the draft stands (unavailable, timeout, empty).
+
+    Answers are taken out of their tags. A reviewer that fails once is not asked again in its task.
+    """
+    schema = t.StructType([*rows.schema.fields, t.StructField("_answer", t.StringType()), t.StructField("review_status", t.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         try:
@@ -35,18 +41,27 @@ def review(rows: DataFrame, make: Callable[[], Callable[[str, str], str]], sourc
         for pdf in batches:
             texts, states = [], []
             for s, d in zip(pdf[source], pdf[draft], strict=True):
-                try:
-                    if model is None:
-                        raise RuntimeError("unavailable")
-                    texts.append(model(s, d))
-                    states.append("reviewed")
-                except Exception:
-                    model = None
-                    texts.append(d)
-                    states.append("fallback")
-            yield pdf.assign(reviewed=texts, review_status=states)
+                answer, state, began = None, "unavailable", time.monotonic()
+                if model is not None:
+                    try:
+                        answer, state = model(s, d), "reviewed"
+                        if time.monotonic() - began > seconds:
+                            answer, state = None, "timeout"
+                    except Exception:
+                        model = None
+                texts.append(answer)
+                states.append(state)
+            yield pdf.assign(_answer=texts, review_status=states)
 
-    return rows.mapInPandas(run, schema)
+    answered = rows.mapInPandas(run, schema).withColumn("_answer", T.tagged_translation(F.col("_answer")))
+    blank = (F.col("_answer") == "") & (F.col("review_status") == "reviewed")
+    status = F.when(blank, "empty").otherwise(F.col("review_status"))
+    return answered.withColumns({"reviewed": F.when(status == "reviewed", F.col("_answer")).otherwise(F.col(draft)), "review_status": status}).drop("_answer")
+
+
+def review_counts(rows: DataFrame, *by: str) -> DataFrame:
+    """How often a reviewer was asked, answered and fell back, and why."""
+    return rows.groupBy(*by, "review_status").agg(F.count("*").alias("n"))
 
 
 def prompt(context: DataFrame, names: int = 30, terms: int = 40) -> DataFrame:

@@ -27,7 +27,7 @@ IMMUTABLE = (
 )
 MD_PREFIX = rf"^([{WS}]*(?:#{{1,6}}[{WS}]+|[-*+][{WS}]+|\p{{Nd}}+[.)][{WS}]+|>[{WS}]+))(.*)$"
 MD_PROTECTED = rf"`[^`]*`|https?://[^{WS}]+|!?\[[^\]]*\]\([^)]*\)"
-DIRECTIONS = {"zh-en": "zh-en", "zh2en": "zh-en", "zh_en": "zh-en", "en-zh": "en-zh", "en2zh": "en-zh", "en_zh": "en-zh"}
+DIRECTIONS = {"zh-en": "zh-en", "zh_to_en": "zh-en", "中译英": "zh-en", "en-zh": "en-zh", "en_to_zh": "en-zh", "英译中": "en-zh"}
 
 
 def text(c: Column) -> Column:
@@ -105,7 +105,7 @@ def direction_of(c: Column) -> Column:
 
 def normal_direction(c: Column) -> Column:
     known = F.create_map(*(F.lit(x) for kv in DIRECTIONS.items() for x in kv))
-    key = F.lower(F.trim(c))
+    key = F.lower(strip(c))
     return F.coalesce(F.try_element_at(known, key), F.raise_error(F.concat(F.lit("unknown direction: "), F.coalesce(key, F.lit("null")))).cast("string"))
 
 
@@ -137,13 +137,18 @@ def term_pattern(term: str) -> str:
     return rf"(?iU)(?<!\w){quote(term)}(?!\w)"
 
 
-def context_matches(c: Column, value: str) -> Column:
+def context_pattern(value: str) -> str:
+    """A context value in any letter case; one with ASCII letters or digits stands between others. Blank values match nothing."""
     value = value.strip()
     if not value:
-        return F.lit(False)
+        return r"(?!)"
     if any("0" <= x <= "9" or "A" <= x <= "Z" or "a" <= x <= "z" for x in value):
-        return c.rlike(rf"(?i)(?<![A-Za-z0-9_]){quote(value)}(?![A-Za-z0-9_])")
-    return F.contains(F.lower(c), F.lit(value.lower()))
+        return rf"(?i)(?<![A-Za-z0-9_]){quote(value)}(?![A-Za-z0-9_])"
+    return rf"(?iu){quote(value)}"
+
+
+def context_matches(c: Column, value: str) -> Column:
+    return c.rlike(context_pattern(value))
 
 
 def tidy_chinese(c: Column) -> Column:
@@ -188,7 +193,7 @@ def should_translate(c: Column, direction: str) -> Column:
 def tagged_translation(c: Column) -> Column:
     """What stands in the first translation tag; else the text without a code fence around it."""
     tagged = F.regexp_extract(text(c), "(?is)<translation>(.*?)</translation>", 1)
-    fence = F.regexp_replace(strip(c), rf"^```[A-Za-z]*[{WS}]*|[{WS}]*```$", "")
+    fence = F.regexp_replace(strip(c), rf"(?i)^```(?:text|markdown)?[{WS}]*|[{WS}]*```$", "")
     return strip(F.when(text(c).rlike("(?is)<translation>.*?</translation>"), tagged).otherwise(fence))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
@@ -39,7 +39,8 @@ def first_of(pairs: DataFrame, key: Column, order: str) -> DataFrame:
     """Adds `is_first`: whether the row is the first of its key. Null keys are first of nothing.
 
     The least order per key comes from a partial aggregation and is joined back, so a key with many rows never
-    gathers in one task as it would in a window.
+    gathers in a window; in the join, which has one row of each key on its other side, adaptive execution splits the
+    partition of such a key.
     """
     # rows without a key get one of their own: no hot null key, and no null test to be pushed below the rules, where
     # it would evaluate them again
@@ -64,10 +65,49 @@ def totals(rows: DataFrame, *by: str) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("scanned"), F.count_if(F.col("reason").isNull()).alias("accepted"), F.count_if(F.col("reason").isNotNull()).alias("rejected"))
 
 
+#: Buckets of a histogram that finds the n-th least value, and from how many rows on a bucket is cut again.
+BUCKETS, SETTLED = 4096, 100_000
+
+
+def nth_least(rows: DataFrame, value: str, n: int):
+    """The n-th least of a long column, or None if there are fewer values. Nulls don't count.
+
+    Histograms with partial counts narrow the range until few rows are left in it; only those are ordered, so nothing
+    that grows with n gathers in a task.
+    """
+    if n < 1:
+        return None
+    low, high, have = rows.agg(F.min(value), F.max(value), F.count(value)).first()
+    if have < n:
+        return None
+    while have > SETTLED and low < high:
+        width = -(-(high - low + 1) // BUCKETS)
+        bucket = F.floor((F.col(value) - F.lit(low)) / width).cast("long")
+        counts = sorted((r["b"], r["k"]) for r in rows.where(F.col(value).between(low, high)).groupBy(bucket.alias("b")).agg(F.count("*").alias("k")).collect())  # at most BUCKETS rows
+        for b, k in counts:
+            if n <= k:
+                low, high, have = low + b * width, min(high, low + (b + 1) * width - 1), k
+                break
+            n -= k
+    if low == high:
+        return low
+    # at most SETTLED rows are in the range
+    return rows.where(F.col(value).between(low, high)).select(value).orderBy(value).limit(n).agg(F.max(value)).first()[0]
+
+
 def until_accepted(rows: DataFrame, order: str, target: int) -> DataFrame:
-    """What a scan that stops at the target-th accepted row has seen. The place of the stop is found by an ordered limit."""
-    stop = rows.where("reason IS NULL").select(order).orderBy(order).limit(target).agg(F.max(order).alias("_stop"), F.count("*").alias("_n"))
-    return rows.join(F.broadcast(stop), (F.col("_n") < target) | (F.col(order) <= F.col("_stop"))).drop("_stop", "_n")
+    """What a scan that stops at the target-th accepted row has seen; all rows if it never stops. `order` is a long column."""
+    if target < 1:
+        return rows.limit(0)
+    stop = nth_least(rows.where("reason IS NULL"), order, target)
+    return rows if stop is None else rows.where(F.col(order) <= stop)
+
+
+def take_until(rows: DataFrame, order: str, target: int) -> DataFrame:
+    """As `until_accepted`, but a scan that can't reach the target is an error."""
+    if nth_least(rows.where("reason IS NULL"), order, target) is None:
+        raise ValueError(f"fewer than {target} accepted rows")
+    return until_accepted(rows, order, target)
 
 
 def not_in(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
@@ -89,11 +129,21 @@ def shuffled_rank(key: Column, seed: int) -> Column:
     return F.md5(F.concat(key, F.lit(f"#{seed}")))
 
 
+def rank_number(rank: Column) -> Column:
+    """The first 60 bits of a digest as a number, in the digest's order."""
+    return F.conv(F.substring(rank, 1, 15), 16, 10).cast("long")
+
+
 def split(pairs: DataFrame, key: Column, validation: int, total: int, seed: int) -> DataFrame:
-    """Adds `part`: validation for the first rows in random order, train up to the total; the others are left out."""
-    ranked = pairs.withColumn("_rank", shuffled_rank(key, seed)).orderBy("_rank").limit(total)
-    numbered = ranked.withColumn("_n", F.row_number().over(Window.orderBy("_rank")))  # over the rows kept only
-    return numbered.withColumn("part", F.when(F.col("_n") <= validation, "validation").otherwise("train")).drop("_rank", "_n")
+    """Adds `part`: validation for the first rows in random order, train up to the total; the others are left out.
+
+    Two thresholds on the rank, so no task sees more than its own rows. Keys are distinct; rows of equal keys stay together.
+    """
+    ranked = pairs.withColumn("_rank", rank_number(shuffled_rank(key, seed)))
+    last, held = (nth_least(ranked, "_rank", n) for n in (total, validation))
+    kept = ranked if last is None else ranked.where(F.col("_rank") <= last)
+    is_held = F.lit(validation > 0) if held is None else F.col("_rank") <= held
+    return kept.withColumn("part", F.when(is_held, "validation").otherwise("train")).drop("_rank")
 
 
 def fraction_split(pairs: DataFrame, key: Column, fraction: float, seed: int) -> DataFrame:

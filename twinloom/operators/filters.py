@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from twinloom.functions import arrays as A
 from twinloom.functions import text as T
 
 # Word lists of the domain and alignment rules.
@@ -27,7 +28,17 @@ def first_reason(*rules: tuple[str | Column, Column]) -> Column:
     return chain
 
 
+def _named(body, **columns: Column) -> Column:
+    """body(struct of the columns), each evaluated once however often the rules name it."""
+    return A.let(F.struct(*(c.alias(k) for k, c in columns.items())), body)
+
+
 def pair_reason(zh: Column, en: Column) -> Column:
+    """See `_pair_reason`; the sides are evaluated once."""
+    return _named(lambda s: _pair_reason(s["zh"], s["en"]), zh=zh, en=en)
+
+
+def _pair_reason(zh: Column, en: Column) -> Column:
     """Corpus rules: empty, invalid_character, length, language, identical, length_ratio, english_leakage, chinese_leakage."""
     n_zh, n_en = F.length(zh), F.length(en)
     ratio = n_en / F.greatest(n_zh, F.lit(1))
@@ -49,6 +60,10 @@ def fast_length_reason(zh: Column, en: Column, most_zh: int = 240, most_en: int
 
 def quality_reason(source: Column, target: Column, source_language: str = "zh") -> Column:
     """Fine-tuning rules for either direction."""
+    return _named(lambda s: _quality_reason(s["source"], s["target"], source_language), source=source, target=target)
+
+
+def _quality_reason(source: Column, target: Column, source_language: str) -> Column:
     n_s, n_t = F.length(source), F.length(target)
     han_s, han_t = T.han_count(source), T.han_count(target)
     if source_language == "zh":
@@ -72,8 +87,15 @@ def _word(words: str) -> str:
 
 
 def domain_of(source: Column, target: Column) -> Column:
-    joined = F.concat(source, F.lit(" "), target)
-    return F.when(joined.rlike(_word(MILITARY)), "military").when(joined.rlike(_word(TECHNICAL)), "technical").when(joined.rlike(_word(LITERARY)), "literary").otherwise("general")
+    def of(joined: Column) -> Column:
+        return F.when(joined.rlike(_word(MILITARY)), "military").when(joined.rlike(_word(TECHNICAL)), "technical").when(joined.rlike(_word(LITERARY)), "literary").otherwise("general")
+
+    return A.let(F.concat(source, F.lit(" "), target), of)
+
+
+def final_domain(source: Column, target: Column, configured: Column) -> Column:
+    """The detected domain; the corpus's own where none is detected."""
+    return A.let(domain_of(source, target), lambda d: F.when(d == "general", configured).otherwise(d))
 
 
 def _contains_any(c: Column, terms: tuple[str, ...]) -> Column:
@@ -82,7 +104,16 @@ def _contains_any(c: Column, terms: tuple[str, ...]) -> Column:
 
 def alignment_reason(source: Column, target: Column, source_language: str = "zh", blacklisted: Column | None = None, source_patterns: tuple[str, ...] = ()) -> Column:
     """Blacklist, then numbers, acronyms and two mistranslated words. `blacklisted` says whether the pair's hash is listed."""
-    numbers, acronyms = T.numbers(source), T.acronyms(source)
+    known = {"source": source, "target": target} | ({} if blacklisted is None else {"blacklisted": blacklisted})
+
+    def facts(s: Column) -> Column:
+        given = s["blacklisted"] if blacklisted is not None else None
+        return _named(lambda f: _alignment_reason(s["source"], s["target"], f["numbers"], f["acronyms"], source_language, given, source_patterns), numbers=T.numbers(s["source"]), acronyms=T.acronyms(s["source"]))
+
+    return _named(facts, **known)
+
+
+def _alignment_reason(source: Column, target: Column, numbers: Column, acronyms: Column, source_language: str, blacklisted: Column | None, source_patterns: tuple[str, ...]) -> Column:
     retained = F.size(F.filter(numbers, lambda n: F.contains(target, n))) / F.greatest(F.size(numbers), F.lit(1))
     english, chinese = (source, target) if source_language == "en" else (target, source)
     folded = F.lower(english)

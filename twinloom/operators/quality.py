@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -102,7 +100,3 @@ def candidate_verdict(source: Column, draft: Column, candidate: Column, directio
         ("inflated", F.length(candidate) > F.greatest(F.lit(80), F.floor(n * 2.5))),
     )
     return F.struct(reason.isNull().alias("valid"), F.coalesce(reason, F.lit("ok")).alias("reason"))
-
-
-def any_of(*conditions: Column) -> Column:
-    return reduce(lambda a, b: a | b, conditions)

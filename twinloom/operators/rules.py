@@ -20,33 +20,60 @@ def glossary_hits(texts: DataFrame, glossary: DataFrame, key: str, text: str = "
     return texts.join(terms, F.contains(F.lower(F.col(text)), F.col("_term")) & (texts["direction"] == terms["direction"])).select(texts[key], "source", "target")
 
 
+def _strings(values) -> Column:
+    return F.array(*map(F.lit, values)) if values else F.array().cast("array<string>")
+
+
 def apply_context_rules(c: Column, rules: list[dict]) -> Column:
-    """struct(text, aliases, required, forbidden): ordered rules folded into one expression.
+    """struct(text, aliases, required, forbidden): ordered rules, one fold over a literal table of them.
 
-    A rule fires if its source stands as a word in the text as rewritten so far and its context in the original.
+    A rule fires if its source stands as a word in the text as rewritten so far and its context in the original. The
+    fold names each step's text once, so the expression grows with the number of rules only.
     """
+    if not rules:
+        return F.struct(T.text(c).alias("text"), *(_strings([]).alias(x) for x in ("aliases", "required", "forbidden")))
+    table = F.array(
+        *(
+            F.struct(
+                F.lit(T.term_pattern(r["source"])).alias("word"),
+                F.lit(r["rewrite"].replace("\\", "\\\\").replace("$", "\\$")).alias("rewrite"),
+                F.lit(r["target"]).alias("target"),
+                _strings([f"{a}\t{r['target']}" for a in r.get("aliases", [])]).alias("aliases"),
+                _strings([T.context_pattern(v) for v in r.get("when_any", [])]).alias("when"),
+                _strings([T.context_pattern(v) for v in r.get("unless_any", [])]).alias("unless"),
+                _strings(r.get("forbidden_output_any", [])).alias("forbidden"),
+            )
+            for r in rules
+        )
+    )
     original = T.text(c)
-    out = original
-    fired: list[tuple[Column, dict]] = []
-    for rule in rules:
-        pattern = T.term_pattern(rule["source"])
-        context = [T.context_matches(original, v) for v in rule.get("when_any", [])]
-        unless = [T.context_matches(original, v) for v in rule.get("unless_any", [])]
-        fires = out.rlike(pattern)
-        if context:
-            fires = fires & reduce(lambda a, b: a | b, context)
-        if unless:
-            fires = fires & ~reduce(lambda a, b: a | b, unless)
-        fired.append((fires, rule))
-        out = F.when(fires, F.regexp_replace(out, pattern, rule["rewrite"].replace("\\", "\\\\").replace("$", "\\$"))).otherwise(out)
-
-    def gather(values) -> Column:
-        none = F.array().cast("array<string>")
-        parts = [F.when(f, F.array(*map(F.lit, v))).otherwise(none) for f, r in fired if (v := values(r))]
-        return F.array_distinct(F.concat(*parts)) if parts else none
-
-    aliases = gather(lambda r: [f"{a}\t{r['target']}" for a in r.get("aliases", [])])
-    return F.struct(out.alias("text"), aliases.alias("aliases"), gather(lambda r: [r["target"]]).alias("required"), gather(lambda r: r.get("forbidden_output_any", [])).alias("forbidden"))
+
+    def step(acc: Column, r: Column) -> Column:
+        context = (F.size(r["when"]) == 0) | F.exists(r["when"], lambda v: F.rlike(original, v))
+        fires = F.rlike(acc["text"], r["word"]) & context & ~F.exists(r["unless"], lambda v: F.rlike(original, v))
+        fired = F.struct(
+            F.regexp_replace(acc["text"], r["word"], r["rewrite"]).alias("text"),
+            F.concat(acc["aliases"], r["aliases"]).alias("aliases"),
+            F.array_append(acc["required"], r["target"]).alias("required"),
+            F.concat(acc["forbidden"], r["forbidden"]).alias("forbidden"),
+        )
+        return F.when(fires, fired).otherwise(acc)
+
+    start = F.struct(original.alias("text"), *(_strings([]).alias(x) for x in ("aliases", "required", "forbidden")))
+    return F.aggregate(table, start, step, lambda acc: F.struct(acc["text"].alias("text"), *(F.array_distinct(acc[x]).alias(x) for x in ("aliases", "required", "forbidden"))))
+
+
+def document_rules(text: Column, rules: list[dict]) -> Column:
+    """array<struct<source, target>> of the rules whose source and context a whole document holds."""
+    found = []
+    for r in rules:
+        fires = text.rlike(T.term_pattern(r["source"]))
+        if r.get("when_any"):
+            fires = fires & reduce(lambda a, b: a | b, (T.context_matches(text, v) for v in r["when_any"]))
+        if r.get("unless_any"):
+            fires = fires & ~reduce(lambda a, b: a | b, (T.context_matches(text, v) for v in r["unless_any"]))
+        found.append(F.when(fires, F.struct(F.lit(r["source"]).alias("source"), F.lit(r["target"]).alias("target"))))
+    return F.filter(F.array(*found), lambda x: x.isNotNull()) if found else F.array().cast("array<struct<source: string, target: string>>")
 
 
 def protect_glossary(c: Column, glossary: list[dict], direction: str) -> Column:
@@ -58,7 +85,7 @@ def protect_glossary(c: Column, glossary: list[dict], direction: str) -> Column:
 
     def step(acc: Column, e: Column) -> Column:
         # one fold over a literal table, so the expression doesn't grow with the glossary
-        present = F.contains(acc["text"], e["source"]) if direction == "zh-en" else acc["text"].rlike(e["word"])
+        present = F.contains(acc["text"], e["source"]) if direction == "zh-en" else F.rlike(acc["text"], e["word"])
         changed = F.replace(acc["text"], e["source"], e["target"]) if direction == "zh-en" else acc["text"]
         return F.struct(F.when(present, changed).otherwise(acc["text"]).alias("text"), F.when(present, F.concat(acc["aliases"], e["aliases"])).otherwise(acc["aliases"]).alias("aliases"))
 
@@ -66,8 +93,13 @@ def protect_glossary(c: Column, glossary: list[dict], direction: str) -> Column:
 
 
 def restore_glossary(c: Column, aliases: Column) -> Column:
-    """Replaces the aliases that a text's rules named ("alias<tab>target") by their targets, the longest first."""
-    ordered = F.array_sort(F.transform(aliases, lambda x, i: F.struct((-F.length(F.substring_index(x, "\t", 1))).alias("n"), i.alias("i"), F.substring_index(x, "\t", 1).alias("alias"), F.substring_index(x, "\t", -1).alias("target"))))
+    """Replaces the aliases that a text's rules named ("alias<tab>target") by their targets, the longest first.
+
+    An alias named more than once has the target it was last given.
+    """
+    first = lambda x: F.substring_index(x, "\t", 1)
+    last = F.filter(aliases, lambda x, i: ~F.exists(F.slice(aliases, i + 2, F.size(aliases)), lambda y: first(y) == first(x)))
+    ordered = F.array_sort(F.transform(last, lambda x, i: F.struct((-F.length(first(x))).alias("n"), i.alias("i"), first(x).alias("alias"), F.substring_index(x, "\t", -1).alias("target"))))
 
     def step(text: Column, e: Column) -> Column:
         word = F.concat(F.lit(r"(?iU)(?<!\w)\Q"), e["alias"], F.lit(r"\E(?!\w)"))

@@ -14,6 +14,7 @@ from twinloom.streaming import clean
 
 BLACKLISTED_SOURCES = ("borrowed the muddy school kitchen",)
 DOMAIN_CAPS = {"technical": 0.25, "literary": 0.05}
+#: Rules that stand before those of the glossary.
 RULES = [
     {"source": "gateway", "rewrite": "network gateway", "target": "网关", "aliases": ["闸道"], "when_any": ["API"], "unless_any": ["castle"], "forbidden_output_any": ["大门"]},
     {"source": "bracket", "rewrite": "support bracket", "target": "支架", "aliases": ["括号"], "when_any": ["hinge"], "unless_any": []},
@@ -77,7 +78,7 @@ def finetune_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _pairs(spark, sf_dir).where(filters.quality_reason(F.col("en"), F.col("zh"), "en").isNull())
+    p = keep(_pairs(spark, sf_dir).where(filters.quality_reason(F.col("en"), F.col("zh"), "en").isNull()).select("corpus", "domain", "zh", "en"))
     listed = _pairs(spark, sf_dir).where("corpus LIKE '%talks%'").where(F.contains("en", F.lit("street lamp"))).select(T.pair_hash(F.col("en"), F.col("zh")).alias("pair_hash"))
     marked = filters.mark_blacklisted(p, listed, "en", "zh")
     return marked.withColumn("reason", filters.alignment_reason(F.col("en"), F.col("zh"), "en", F.col("blacklisted"), BLACKLISTED_SOURCES))
@@ -89,8 +90,7 @@ def alignment_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def domain_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _pairs(spark, sf_dir)
-    detected = filters.domain_of(F.col("en"), F.col("zh"))
-    return p.groupBy("corpus", F.when(detected == "general", F.col("domain")).otherwise(detected).alias("final_domain")).agg(F.count("*").alias("n"))
+    return p.groupBy("corpus", filters.final_domain(F.col("en"), F.col("zh"), F.col("domain")).alias("final_domain")).agg(F.count("*").alias("n"))
 
 
 def domain_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,8 +103,7 @@ def domain_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixture_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of the pairs, half of them from talks, under domain caps."""
     p = _aligned(spark, sf_dir).where("reason IS NULL")
-    detected = filters.domain_of(F.col("en"), F.col("zh"))
-    rows = keep(p.select(T.exact_key(F.col("en"), F.col("zh")).alias("key"), F.coalesce(F.when(detected == "general", F.col("domain")).otherwise(detected), F.lit("general")).alias("domain"), "corpus"))
+    rows = keep(p.select(T.exact_key(F.col("en"), F.col("zh")).alias("key"), F.coalesce(filters.final_domain(F.col("en"), F.col("zh"), F.col("domain")), F.lit("general")).alias("domain"), "corpus"))
     total = max(1, rows.count() // 3)
     weights = {"./data/talks_zh_en.parquet": 0.5, "./data/general_web_en_zh.parquet": 0.3, "./data/desk_manuals_en_zh.parquet": 0.15, "./data/story_pairs_en_zh.parquet": 0.05}
     pools = [(name, w, rows.where(F.col("corpus") == name)) for name, w in weights.items()]
@@ -156,15 +155,26 @@ def glossary_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.glossary_hits(e, _t(spark, sf_dir, "glossary_entries"), "id").groupBy("source", "target").agg(F.countDistinct("id").alias("n"))
 
 
+def _glossary(spark: SparkSession, sf_dir: str, direction: str) -> list[dict]:
+    """A rule table, one entry a source: of several the one with the greatest target."""
+    rows = _t(spark, sf_dir, "glossary_entries").where(F.col("direction") == direction).groupBy("source").agg(F.max(F.struct("target", F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))).alias("m"))
+    return [{"source": r["source"], "target": r["m"]["target"], "aliases": r["m"]["aliases"]} for r in rows.orderBy("source").collect()]
+
+
+def rule_table(spark: SparkSession, sf_dir: str) -> list[dict]:
+    """The fixed rules, then one for each English glossary entry: its target is put after the term unless the text has a bracket."""
+    return RULES + [e | {"rewrite": f"{e['source']} [{e['target']}]", "unless_any": ["["], "forbidden_output_any": e["aliases"]} for e in _glossary(spark, sf_dir, "en-zh")]
+
+
 def glossary_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = [r.asDict() for r in _t(spark, sf_dir, "glossary_entries").where("direction = 'zh-en'").dropDuplicates(["source"]).orderBy("source").collect()]  # a rule table
+    entries = _glossary(spark, sf_dir, "zh-en")
     e = _t(spark, sf_dir, "translation_eval").where("direction = 'zh-en'")
     done = e.withColumn("g", rules.protect_glossary(F.col("source"), entries, "zh-en"))
     return done.select("id", F.col("g.text").alias("protected"), rules.restore_glossary(F.col("reference"), F.col("g.aliases")).alias("restored"))
 
 
 def context_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _t(spark, sf_dir, "translation_eval").where("direction = 'en-zh'").withColumn("r", rules.apply_context_rules(F.col("source"), RULES))
+    e = _t(spark, sf_dir, "translation_eval").where("direction = 'en-zh'").withColumn("r", rules.apply_context_rules(F.col("source"), rule_table(spark, sf_dir)))
     return e.select("id", F.col("r.text").alias("rewritten"), F.array_join("r.required", "|").alias("required"), F.array_join("r.forbidden", "|").alias("forbidden"))
 
 
@@ -202,7 +212,25 @@ def case_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.summary(evaluation.scored(_report(spark, sf_dir)), "run_id", "direction")
+    s = evaluation.summary(evaluation.scored(_report(spark, sf_dir)), "run_id", "direction")
+    return s.select(*(F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in s.dtypes))
+
+
+def chrf_plus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _report(spark, sf_dir)
+    return r.select("run_id", "id", F.round(A.chrf_plus(F.col("prediction"), F.col("reference")), 4).alias("chrf"))
+
+
+def unpaired_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _t(spark, sf_dir, "eval_report_rows")
+    return evaluation.unpaired(s.where("run_id = 'run-cand'"), s.where("run_id = 'run-base'"))
+
+
+def loss_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A loss a day, each against the day's before."""
+    daily = _t(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("step")).agg(F.min("o_totalprice").alias("candidate_loss"))
+    before = daily.select(F.date_add("step", 1).alias("step"), F.col("candidate_loss").alias("base_loss"))
+    return evaluation.loss_gate(daily.join(before, "step"), 50.0).select("step", F.round("change", 4).alias("change"), "loss_gate_passed")
 
 
 def _difference(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -215,12 +243,14 @@ def paired_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluation.bootstrap_poisson(_difference(spark, sf_dir))
+    b = evaluation.bootstrap_poisson(_difference(spark, sf_dir))
+    return b.select(*(F.round(c, 6).alias(c) for c in b.columns))
 
 
 def promotion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = evaluation.scored(_report(spark, sf_dir))
-    return evaluation.gate(evaluation.summary(s.where("run_id = 'run-cand'")), evaluation.summary(s.where("run_id = 'run-base'")), evaluation.bootstrap_poisson(_difference(spark, sf_dir)))
+    g = evaluation.gate(evaluation.summary(s.where("run_id = 'run-cand'")), evaluation.summary(s.where("run_id = 'run-base'")), evaluation.bootstrap_poisson(_difference(spark, sf_dir)))
+    return g.select(F.explode(F.map_concat("checks", F.create_map(F.lit("accepted"), F.col("accepted")))).alias("check_name", "passed"))
 
 
 def cache_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,13 +270,13 @@ def paragraph_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def paragraph_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _t(spark, sf_dir, "documents").where("text IS NOT NULL")
-    p = documents.with_context(documents.paragraphs(docs, "doc_id"), "doc_id").join(documents.context_of(docs, "doc_id").select("doc_id", "fingerprint"), "doc_id")
+    p = documents.with_context(documents.paragraphs(docs, "doc_id"), "doc_id").join(documents.context_of(docs, "doc_id", glossary=_glossary(spark, sf_dir, "en-zh")).select("doc_id", "fingerprint"), "doc_id")
     return p.select("doc_id", "para_no", documents.paragraph_key(F.col("fingerprint")).alias("cache_key"))
 
 
 def document_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = documents.within_budget(documents.paragraphs(_t(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id"), "doc_id", 500)
-    return documents.reassemble(p, "doc_id", "para_no", "body", "\n").select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
+    p = documents.sample_of(documents.paragraphs(_t(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id"), "doc_id", 500)
+    return p.select("doc_id", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,10 +286,41 @@ def markdown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def roundtrip_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that their lines don't give back unchanged (none)."""
-    docs = _t(spark, sf_dir, "documents").where("text IS NOT NULL")
-    lines = documents.lines(docs, "doc_id").withColumn("line", F.concat("body", "ending"))
-    return documents.reassemble(lines, "doc_id", "line_no", "line").alias("r").join(docs.alias("d"), "doc_id").where("r.text <> d.text").select("doc_id")
+    """Documents put together again from their lines, with the number of these."""
+    lines = documents.lines(_t(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id").withColumn("line", F.concat("body", "ending"))
+    counted = lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"))
+    return documents.reassemble(lines, "doc_id", "line_no", "line").join(counted, "doc_id").select("doc_id", "n_lines", F.md5("text").alias("digest"))
+
+
+def _marked():
+    return lambda texts: [f"<{x}>" for x in texts]
+
+
+def markdown_translated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with a predictor that puts each translatable piece of English in angles."""
+    done = documents.translate_markdown(_t(spark, sf_dir, "documents").where("text IS NOT NULL"), "doc_id", "en-zh", _marked)
+    return done.select("doc_id", F.regexp_count("text", F.lit("<")).alias("n_pieces"), F.md5(F.translate("text", "<>", "")).alias("kept"))
+
+
+def tidy_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _pairs(spark, sf_dir)
+    return p.select("pair_id", F.md5(T.tidy_chinese(F.col("zh"))).alias("digest"))
+
+
+def peeled_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _t(spark, sf_dir, "parallel_pairs").select("pair_id", T.peel(F.col("translation.en_GB")).alias("p"), T.should_translate(F.col("translation.en_GB"), "zh-en").alias("zh"), T.should_translate(F.col("translation.en_GB"), "en-zh").alias("en"))
+    return p.select("pair_id", F.length("p.leading").alias("n_leading"), F.length("p.trailing").alias("n_trailing"), F.md5("p.core").alias("core"), "zh", "en")
+
+
+def clause_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", F.size(T.clauses(F.col("text"))).alias("n_clauses"))
+
+
+def corpora_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Talks, then all other corpora, one after the other."""
+    p = _t(spark, sf_dir, "parallel_pairs")
+    both = corpus.concatenate(p.where("corpus LIKE '%talks%'").select("pair_id", "talk_key"), p.where("corpus NOT LIKE '%talks%'").select("pair_id", "domain"))
+    return both.groupBy("corpus_no").agg(F.count("*").alias("n"), F.count("talk_key").alias("n_talk_keys"), F.count("domain").alias("n_domains"), F.sum("pair_id").alias("id_sum"))
 
 
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -334,5 +395,5 @@ def reasons_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (corpus_rejections, pair_reasons, pair_totals, accepted_pairs, corpus_metadata, fast_length, scan_until, finetune_reasons, alignment_reasons, domain_counts, domain_caps, mixture_selection, train_split, fraction_split, raw_new_pairs, raw_parse, facts, directions, immutable_tokens, glossary_hits, glossary_applied, context_rules, quality_issues, quality_by_code, review_stats, candidate_verdicts, case_scores, eval_summary, paired_difference, bootstrap, promotion_gate, cache_latest, cache_hits, paragraph_context, paragraph_keys, document_samples, markdown_lines, roundtrip_lines, sentence_counts, model_splits, document_context, micro_batches, token_frames, banned_tokens, rewards, learning_rates, early_stopping, case_problems, case_sets, pool_ranks, reasons_by_day)
+    for f in (corpus_rejections, pair_reasons, pair_totals, accepted_pairs, corpus_metadata, fast_length, scan_until, finetune_reasons, alignment_reasons, domain_counts, domain_caps, mixture_selection, train_split, fraction_split, raw_new_pairs, raw_parse, facts, directions, immutable_tokens, glossary_hits, glossary_applied, context_rules, quality_issues, quality_by_code, review_stats, candidate_verdicts, case_scores, eval_summary, paired_difference, bootstrap, promotion_gate, cache_latest, cache_hits, paragraph_context, paragraph_keys, document_samples, markdown_lines, roundtrip_lines, sentence_counts, model_splits, document_context, micro_batches, chrf_plus, unpaired_cases, loss_gate, markdown_translated, tidy_targets, peeled_sides, clause_counts, corpora_joined, token_frames, banned_tokens, rewards, learning_rates, early_stopping, case_problems, case_sets, pool_ranks, reasons_by_day)
 }

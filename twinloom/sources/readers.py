@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import os
 import re
 import zipfile
@@ -14,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from twinloom.functions import models
+from twinloom.functions import text as T
 from twinloom.operators.corpus import require
 
 TEXT_SUFFIXES, DOCX = (".txt", ".md", ".markdown"), ".docx"
@@ -47,6 +50,59 @@ def cache_log(spark: SparkSession, path: str) -> DataFrame:
     return parsed.select("line_no", *(F.coalesce(f"r.{c}", F.lit("")).alias(c) for c in ("signature", "key", "translation")))
 
 
+def _json_of(spark: SparkSession, path: str):
+    """A JSON file of parameters (rules, lists), which the driver reads whole."""
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def blacklist(spark: SparkSession, path: str) -> tuple[DataFrame, tuple[str, ...]]:
+    """Pair hashes (column pair_hash, of listed hashes and listed pairs) and patterns against sources. Incomplete pairs don't count."""
+    raw = _json_of(spark, path)
+    listed = spark.createDataFrame([(str(h),) for h in raw.get("pair_hashes", [])], "pair_hash string")
+    pairs = [(str(p.get("source", "")).strip(), str(p.get("target", "")).strip()) for p in raw.get("exact_pairs", [])]
+    exact = spark.createDataFrame([p for p in pairs if all(p)], "source string, target string").select(T.pair_hash(F.col("source"), F.col("target")).alias("pair_hash"))
+    return listed.unionAll(exact).distinct(), tuple(str(p) for p in raw.get("source_patterns", []) if str(p))
+
+
+def glossary(spark: SparkSession, path: str) -> list[dict]:
+    """source, target, aliases of each entry in order; entries are a target or an object with target and aliases."""
+    raw = _json_of(spark, path)
+    if not isinstance(raw, dict):
+        raise ValueError(f"a glossary must be a JSON object: {path}")
+    entries = []
+    for source, rule in raw.items():
+        if not isinstance(rule, str | dict):
+            raise ValueError(f"glossary entry {source!r} must be a text or an object")
+        target, aliases = (rule, []) if isinstance(rule, str) else (str(rule.get("target", "")), [str(a) for a in rule.get("aliases", []) if str(a)])
+        if source and target:
+            entries.append({"source": source, "target": target, "aliases": aliases})
+    return entries
+
+
+def context_rules(spark: SparkSession, path: str) -> list[dict]:
+    """Ordered context rules; the rewriting is the source itself where none is given."""
+    raw = _json_of(spark, path)
+    if not isinstance(raw, list) or not all(isinstance(r, dict) for r in raw):
+        raise ValueError(f"context rules must be a JSON array of objects: {path}")
+    known = []
+    for no, rule in enumerate(raw, 1):
+        named = {k: str(rule.get(k, d)).strip() for k, d in (("source", ""), ("target", ""), ("rewrite", rule.get("source", "")))}
+        if not all(named.values()):
+            raise ValueError(f"context rule {no} lacks source, rewrite or target")
+        known.append(named | {k: [str(v) for v in rule.get(k, []) if str(v)] for k in ("aliases", "when_any", "unless_any", "forbidden_output_any")})
+    return known
+
+
+def mixture_sources(spark: SparkSession, path: str) -> tuple[list[dict], dict[str, float]]:
+    """path, weight, domain of each source of a selection, and the greatest fraction of each capped domain."""
+    raw = _json_of(spark, path)
+    sources = [{"path": str(s["path"]), "weight": float(s.get("weight", 1.0)), "domain": str(s.get("domain", "general"))} for s in raw.get("sources", [])]
+    caps = {str(k): float(v) for k, v in raw.get("max_domain_fractions", {}).items()}
+    if any(s["weight"] < 0 for s in sources) or not all(0 <= v <= 1 for v in caps.values()):
+        raise ValueError("weights must not be negative, fractions must lie between 0 and 1")
+    return sources, caps
+
+
 def kind_of(path: str) -> str:
     suffix = PurePosixPath(path).suffix.lower()
     if suffix not in (*TEXT_SUFFIXES, DOCX):
@@ -110,11 +166,35 @@ def rewrite_docx(content: bytes, translated: dict[str, str]) -> bytes:
     return out.getvalue()
 
 
+def translate_docx(spark: SparkSession, path: str, make, direction: str) -> DataFrame:
+    """path, content of DOCX files with their paragraphs put through a predictor; each distinct paragraph once per task group."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.docx").load(path).select("path", "content")
+    wanted = docx(spark, path).where(T.should_translate(F.col("body"), direction)).select("path", "body").distinct()
+    answers = models.predict(wanted.select("body").distinct(), make, "body", "output")
+    tables = wanted.join(answers, "body").groupBy("path").agg(F.map_from_entries(F.collect_list(F.struct("body", "output"))).alias("translated"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            table = [dict(t) if t is not None else {} for t in pdf["translated"]]
+            yield pd.DataFrame({"path": pdf["path"], "content": [rewrite_docx(bytes(c), t) for c, t in zip(pdf["content"], table, strict=True)]})
+
+    return files.join(tables, "path", "left").mapInPandas(run, "path string, content binary")
+
+
 def output_name(path: str, direction: str) -> str:
     p = PurePosixPath(path)
     return str(p.with_name(f"{p.stem}.{'en' if direction == 'zh-en' else 'zh'}{p.suffix}"))
 
 
+def refuse_overwriting(source: str, output: str) -> str:
+    """The output's name, if nothing is there and it isn't the source."""
+    if os.path.abspath(source) == os.path.abspath(output):
+        raise ValueError("the output must not replace its source")
+    if os.path.exists(output):
+        raise FileExistsError(output)
+    return output
+
+
 def cache_name(path: str) -> str:
     return f"{path}.translation-cache.jsonl"
 
