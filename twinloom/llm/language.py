@@ -7,8 +7,8 @@ of at most `LONGEST_EXAMPLE` characters, and of each text `SENTENCES` sentences
 classified whole. TF-IDF vectors are scaled to a sum of one, so a unit's score is a plain sum over its n-grams divided
 by their summed idf: two table look-ups per n-gram, no sparse vectors, no Python per character.
 
-The language of a sentence comes from its own score, what its length makes that worth, what its text is labelled with
-(if it is) and the language most of its text is in. The temperature turns the sum into a confidence; it is fitted with
+The language of a sentence comes from its own score, what its length makes that worth and the language most of its text
+is in; which that is depends on the text's label too, if it has one. The temperature turns the sum into a confidence; it is fitted with
 all of these in place but the label, on all sentences of the held-out texts. As labels are partly wrong and texts partly
 mixed, the rates of both are estimated along with it.
 
@@ -39,7 +39,8 @@ HELD_OUT = 6
 LONGEST_EXAMPLE = 20_000
 #: A segment is a sentence or more: at least so many letters (a Han, Kana or Hangul character counts as WIDE letters).
 LEAST_LETTERS, WIDE = 25, 2.5
-#: Letters of a usual sentence; what the score of the language most of a text is in, and of the one it is labelled with, is raised by.
+#: Letters of a usual sentence; what the score of the language most of a text is in is raised by, and what that of the
+#: language it is labelled with when it is asked which that is.
 USUAL_LETTERS, DOMINANT, LABELLED = 40, 4.5, 3.0
 
 
@@ -247,11 +248,12 @@ def _weighed(raw: np.ndarray, letters: np.ndarray, owner: np.ndarray, n: int, la
     """Scores with all that bears on them; `label` holds each text's labelled language, -1 if it has none."""
     # a score is a mean over n-grams: the fewer letters, the less it tells
     scores = raw * np.clip(np.sqrt(letters / USUAL_LETTERS), 0.3, 1.0)[:, None]
+    given = scores.copy()
     if label is not None:
         at = np.flatnonzero(label[owner] >= 0)
-        scores[at, label[owner[at]]] += LABELLED
+        given[at, label[owner[at]]] += LABELLED
     whole = np.zeros((n, raw.shape[1]))
-    np.add.at(whole, owner, _softmax(scores) * letters[:, None])
+    np.add.at(whole, owner, _softmax(given) * letters[:, None])
     scores[np.arange(len(owner)), whole.argmax(1)[owner]] += DOMINANT
     return scores
 
