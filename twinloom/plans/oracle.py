@@ -65,7 +65,7 @@ def numbers(x: str) -> str:
 def acronyms(x: str) -> str:
     doubled = f"regexp_replace(coalesce({x}, ''), '([^A-Za-z0-9.-])', '\\1\\1', 'g')"
     found = f"regexp_extract_all({doubled}, '(?:^|[^A-Za-z0-9])([A-Z][A-Z0-9.-]+)(?:[^A-Za-z0-9]|$)', 1)"
-    return f"list_distinct(list_transform({found}, lambda x: regexp_replace(x, '\\.+$', '')))"
+    return ordered(f"list_transform({found}, lambda x: regexp_replace(x, '\\.+$', ''))")
 
 
 def n_entities(x: str) -> str:
@@ -243,6 +243,14 @@ _PREFIX = rf"^([{WS}]*(?:#{{1,6}}[{WS}]+|[-*+][{WS}]+|\p{{Nd}}+[.)][{WS}]+|>[{WS
 _KEPT = rf"`[^`]*`|https?://[^{WS}]+|!?\[[^\]]*\]\([^)]*\)"
 
 
+_LIST = lambda x: f"array_to_string(list_transform({x}, lambda v: to_json(v)::VARCHAR), ', ')"
+_ENTITIES = f"regexp_extract_all({ascii_words('text')}, '\\b[A-Z][a-z]{{2,}}(?:[{WS}]+[A-Z][a-z]{{2,}}){{1,3}}\\b')"
+PARAGRAPH_KEYS = f"""WITH {PARAGRAPHS}, {_CONTEXT}, g AS (SELECT source, max(target) AS target FROM glossary_entries WHERE direction = 'en-zh' GROUP BY source),
+gl AS (SELECT doc_id, string_agg('[' || to_json(g.source)::VARCHAR || ', ' || to_json(trim(g.target))::VARCHAR || ']', ', ' ORDER BY g.source) AS terms FROM documents d JOIN g ON contains(lower(d.text), lower(g.source)) AND g.target <> '' GROUP BY doc_id),
+fp AS (SELECT d.doc_id, sha256('{{"acronyms": [' || {_LIST(ordered('acr'))} || '], "entities": [' || CASE WHEN direction = 'en-zh' THEN {_LIST(ordered(_ENTITIES))} ELSE '' END || '], "glossary": [' || coalesce(terms, '') || '], "version": 2}}') AS fingerprint FROM documents d JOIN cx USING (doc_id) LEFT JOIN gl USING (doc_id) WHERE text IS NOT NULL),
+w AS (SELECT doc_id, para_no, body, lag(body) OVER (PARTITION BY doc_id ORDER BY para_no) AS p, lead(body) OVER (PARTITION BY doc_id ORDER BY para_no) AS n FROM para)
+SELECT doc_id, para_no, sha256('{{"document":"' || fingerprint || '","kind":"reviewed-paragraph","next":' || to_json(left({strip('n')}, 600))::VARCHAR || ',"previous":' || to_json(right({strip('p')}, 600))::VARCHAR || ',"reviewer_enabled":false,"source":' || to_json({strip('body')})::VARCHAR || '}}') AS cache_key FROM w JOIN fp USING (doc_id)"""
+
 SQL = {
     "pair_reasons": _REASONS,
     "corpus_rejections": _REASONS,
@@ -251,6 +259,7 @@ SELECT '{{"scanned":' || sum(n) || ',"accepted":' || coalesce(sum(n) FILTER (rea
     "quality_issues": f"WITH {REPORT}, {FLAGS}, c AS (" + " UNION ALL ".join(f"SELECT run_id, direction, '{k}' AS code FROM flags WHERE is_{k}" for k in CODES) + ") SELECT run_id, direction, code, count(*) AS n FROM c GROUP BY ALL",
     "review_stats": f"WITH {REPORT}, {FLAGS}, {JUDGEMENT} SELECT run_id, direction, count(*) AS examined, count(*) FILTER (score >= 35 OR has_critical) AS triggered, count(*) FILTER (has_critical) AS critical, sum(score)::BIGINT AS total_score FROM jd GROUP BY run_id, direction",
     "candidate_verdicts": VERDICTS,
+    "paragraph_keys": PARAGRAPH_KEYS,
     "context_rules": CONTEXT,
     "eval_summary": f"WITH {SUMMARY}, sm AS (SELECT run_id, direction, {_MEANS} FROM sc GROUP BY run_id, direction) SELECT run_id, direction, case_count, round(chrf, 4) AS chrf, round(simple_chrf, 4) AS simple_chrf, {', '.join(f'round({name}, 4) AS {name}' for name, _ in _RATIOS)}, critical_errors FROM sm",
     "bootstrap": f"WITH {BOOT} SELECT round(mean, 6) AS mean, round(ci95_low, 6) AS ci95_low, round(ci95_high, 6) AS ci95_high FROM bt",
