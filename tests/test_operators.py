@@ -301,6 +301,16 @@ def test_eval_cases_are_validated(spark, tmp_path):
         load(case, direction="en-zh")
 
 
+def test_metadata_and_statistics_of_sources(spark):
+    import json
+
+    rows = spark.createDataFrame([("a", None), ("a", "length"), ("a", "length"), ("b", "empty"), (None, None)], "corpus string, reason string")
+    m = json.loads(corpus.metadata(rows, seed=17, source="x").first()["metadata"])
+    assert m == {"scanned": 5, "accepted": 2, "rejections": {"empty": 1, "length": 2}, "seed": 17, "source": "x"}
+    got = {r["corpus"]: (r["n_rows"], r["accepted"], r["rejected"]) for r in corpus.source_statistics(rows, "corpus").collect()}
+    assert got == {"a": (3, 1, '{"length":2}'), "b": (1, 0, '{"empty":1}'), None: (1, 1, "{}")}
+
+
 def test_gates(spark):
     losses = spark.createDataFrame([(1.0, 1.05), (1.0, 1.2), (None, 1.0)], "base_loss double, candidate_loss double")
     assert [r["loss_gate_passed"] for r in evaluation.loss_gate(losses, 0.1).collect()] == [True, False, False]

@@ -152,7 +152,15 @@ def fraction_split(pairs: DataFrame, key: Column, fraction: float, seed: int) ->
     return pairs.withColumn("part", F.when(bucket < fraction, "train").otherwise("test"))
 
 
-def metadata(rows: DataFrame) -> DataFrame:
-    """One JSON document with counts and the sorted histogram of reasons."""
+def metadata(rows: DataFrame, **details: str | int | float) -> DataFrame:
+    """One JSON document with counts and the sorted histogram of reasons, and what else is to be stated (sources, seed, time)."""
     counts = histogram(rows)
-    return counts.agg(F.to_json(F.struct(F.sum("n").alias("scanned"), F.sum(F.when(F.col("reason") == "accepted", F.col("n")).otherwise(0)).alias("accepted"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason") != "accepted", F.struct("reason", "n"))))).alias("rejections"))).alias("metadata"))
+    stated = [F.lit(v).alias(k) for k, v in details.items()]
+    return counts.agg(F.to_json(F.struct(F.sum("n").alias("scanned"), F.sum(F.when(F.col("reason") == "accepted", F.col("n")).otherwise(0)).alias("accepted"), F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason") != "accepted", F.struct("reason", "n"))))).alias("rejections"), *stated)).alias("metadata"))
+
+
+def source_statistics(rows: DataFrame, by: str) -> DataFrame:
+    """Per source: rows, accepted ones, and the sorted histogram of reasons as JSON. Two aggregations with partial counts."""
+    counts = histogram(rows, by)
+    refused = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("reason") != "accepted", F.struct("reason", "n")))))
+    return counts.groupBy(by).agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("reason") == "accepted", F.col("n")).otherwise(0)).alias("accepted"), F.to_json(refused).alias("rejected"))

@@ -256,6 +256,8 @@ SQL = {
     "corpus_rejections": _REASONS,
     "corpus_metadata": f"""WITH {JUDGED}, h AS (SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM j GROUP BY ALL)
 SELECT '{{"scanned":' || sum(n) || ',"accepted":' || coalesce(sum(n) FILTER (reason = 'accepted'), 0) || ',"rejections":{{' || coalesce(string_agg('"' || reason || '":' || n, ',' ORDER BY reason) FILTER (reason <> 'accepted'), '') || '}}}}' AS metadata FROM h""",
+    "source_statistics": f"""WITH {JUDGED}, h AS (SELECT corpus, coalesce(reason, 'accepted') AS reason, count(*) AS n FROM j GROUP BY ALL)
+SELECT corpus, sum(n)::BIGINT AS n_rows, coalesce(sum(n) FILTER (reason = 'accepted'), 0)::BIGINT AS accepted, '{{' || coalesce(string_agg('"' || reason || '":' || n, ',' ORDER BY reason) FILTER (reason <> 'accepted'), '') || '}}' AS rejected FROM h GROUP BY corpus""",
     "quality_issues": f"WITH {REPORT}, {FLAGS}, c AS (" + " UNION ALL ".join(f"SELECT run_id, direction, '{k}' AS code FROM flags WHERE is_{k}" for k in CODES) + ") SELECT run_id, direction, code, count(*) AS n FROM c GROUP BY ALL",
     "review_stats": f"WITH {REPORT}, {FLAGS}, {JUDGEMENT} SELECT run_id, direction, count(*) AS examined, count(*) FILTER (score >= 35 OR has_critical) AS triggered, count(*) FILTER (has_critical) AS critical, sum(score)::BIGINT AS total_score FROM jd GROUP BY run_id, direction",
     "candidate_verdicts": VERDICTS,

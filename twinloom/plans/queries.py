@@ -59,6 +59,10 @@ def corpus_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.metadata(_judged(spark, sf_dir))
 
 
+def source_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.source_statistics(_judged(spark, sf_dir), "corpus")
+
+
 def fast_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _prepared(spark, sf_dir)
     reason = F.coalesce(filters.pair_reason(F.col("zh"), F.col("en")), filters.fast_length_reason(F.col("zh"), F.col("en")))
@@ -395,5 +399,5 @@ def reasons_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (corpus_rejections, pair_reasons, pair_totals, accepted_pairs, corpus_metadata, fast_length, scan_until, finetune_reasons, alignment_reasons, domain_counts, domain_caps, mixture_selection, train_split, fraction_split, raw_new_pairs, raw_parse, facts, directions, immutable_tokens, glossary_hits, glossary_applied, context_rules, quality_issues, quality_by_code, review_stats, candidate_verdicts, case_scores, eval_summary, paired_difference, bootstrap, promotion_gate, cache_latest, cache_hits, paragraph_context, paragraph_keys, document_samples, markdown_lines, roundtrip_lines, sentence_counts, model_splits, document_context, micro_batches, chrf_plus, unpaired_cases, loss_gate, markdown_translated, tidy_targets, peeled_sides, clause_counts, corpora_joined, token_frames, banned_tokens, rewards, learning_rates, early_stopping, case_problems, case_sets, pool_ranks, reasons_by_day)
+    for f in (corpus_rejections, pair_reasons, pair_totals, accepted_pairs, corpus_metadata, source_statistics, fast_length, scan_until, finetune_reasons, alignment_reasons, domain_counts, domain_caps, mixture_selection, train_split, fraction_split, raw_new_pairs, raw_parse, facts, directions, immutable_tokens, glossary_hits, glossary_applied, context_rules, quality_issues, quality_by_code, review_stats, candidate_verdicts, case_scores, eval_summary, paired_difference, bootstrap, promotion_gate, cache_latest, cache_hits, paragraph_context, paragraph_keys, document_samples, markdown_lines, roundtrip_lines, sentence_counts, model_splits, document_context, micro_batches, chrf_plus, unpaired_cases, loss_gate, markdown_translated, tidy_targets, peeled_sides, clause_counts, corpora_joined, token_frames, banned_tokens, rewards, learning_rates, early_stopping, case_problems, case_sets, pool_ranks, reasons_by_day)
 }
