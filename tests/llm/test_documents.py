@@ -149,3 +149,47 @@ def test_levels_rank_held_out_documents(spark):
     assert got[20]["level"] > got[21]["level"]
     assert all(r["level"] is None for r in reading.levels(d, lb.limit(0), model).collect())
     assert reading.levels(d.limit(0), lb, model).count() == 0
+
+
+def test_every_rated_document_bears_on_the_level_models(spark):
+    """More documents of a level than were sampled once (400), and rated ones of over 20,000 characters."""
+    docs = [(i, f"{EASY[i % 4]} {EASY[i % 3]}", 1) for i in range(900)] + [(1000 + i, " ".join(HARD * (90 + i)), 5) for i in range(8)]
+    assert all(len(t) > 20_000 for i, t, _ in docs if i >= 1000)
+    d = spark.createDataFrame([x[:2] for x in docs] + [(2000, EASY[0]), (2001, HARD[0])], "doc_id long, text string")
+    lb = spark.createDataFrame([(i, "r", k) for i, _, k in docs], "doc_id long, rater string, reading_level int")
+    rated = reading._rated(d, lb)
+    assert sorted(map(tuple, rated.select("text", "rating").collect())) == sorted((t, float(k)) for _, t, k in docs)
+    # what is counted is what all texts hold, character by character, however they are spread over tasks
+    want = np.zeros((len(reading.LEVELS), 1 << reading.BITS), np.int64)
+    for _, text, k in docs:
+        codes, at, _, _ = reading._prepare([text])
+        for unit in np.split(codes, at[1:]):
+            around = np.concatenate([np.full(4, 2), unit, np.full(5, 2)]).astype(np.uint32)
+            _, idx = list(reading.K.ngram_buckets(around, (5,), reading.BITS))[0]
+            np.add.at(want[k - 1], idx, 1)
+    one, many = (reading._counted(rated.repartition(n)) for n in (1, 7))
+    assert (one.count(5).sum(0) == want).all() and one.slots == many.slots
+    model = L.fit([EASY[0] + " " + EASY[1], "猫看见一只大狗在桌子上面睡觉"] * 10, ["en", "zh"] * 10)
+    got = {r["doc_id"]: r["level"] for r in reading.levels(d, lb, model).where("doc_id >= 2000").collect()}
+    assert got[2000] < reading.HARD <= got[2001]
+
+
+def test_isotonic_map_of_all_points_is_that_of_its_ranges(spark):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.uniform(1, 5, 3000), 2)
+    y = np.clip(np.rint(x + rng.normal(0, 1, 3000)), 1, 5)
+    knots, values = reading.isotonic(x, y)
+    points = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y, strict=True)], "x double, y double").repartition(5)
+    got = reading.isotonic_of(points)
+    at = np.unique(x)
+    assert np.interp(at, *got) == pytest.approx(np.interp(at, knots, values)) and (np.diff(got[1]) >= 0).all()
+    assert len(set(knots[::2])) == len(knots) // 2
+
+
+def test_weights_of_orders_come_from_all_folds(spark):
+    """What any fold holds out moves the weights, by the count of its characters."""
+    rng = random.Random(11)
+    text = {i: " ".join(rng.choice(EASY) for _ in range(4)) for i in range(80)}
+    frame = lambda noisy: spark.createDataFrame([(_words(random.Random(i), 30) if i % reading.FOLDS == noisy else t, 1.0, i % reading.FOLDS) for i, t in text.items()], "text string, rating double, fold int")
+    floors = [reading._Judge.of(reading._counted(frame(k))).floor for k in (-1, *range(reading.FOLDS))]
+    assert all(f > 5 * floors[0] for f in floors[1:])
